@@ -33,6 +33,7 @@ _COMBINED = {
     "k": "k",
     "value": "value",
     "event_type": "event_type",
+    "event_id": "event_id",
 }
 
 
