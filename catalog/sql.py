@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 LOG = """log AS (
@@ -441,4 +442,6 @@ def features(names: Iterable[str]) -> str:
 
 
 def sql(parts: Iterable[str], select: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    """Each table expression is computed once instead of being merged into the next."""
+    tables = re.sub(r"(\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", ",\n".join(parts))
+    return f"WITH {tables}\n{select}"

@@ -19,6 +19,7 @@ from ..functions import (
     weighted_sum,
     with_expressions,
 )
+from ..session import materialize
 from .schema import column_or_zero
 from .statistics import quantiles, summarize, unit_range
 
@@ -127,8 +128,12 @@ def explain_indicators(
 
 
 def score_profiles(df: DataFrame, anomaly: str | None = None) -> DataFrame:
-    """SCR-1..5 on a table of profile features (JON-6: scores are columns in place)."""
-    scored = blend_anomaly(base_risk(tier_scores(df)), anomaly)
+    """SCR-1..5 on a table of profile features (JON-6: scores are columns in place).
+
+    The score is stored before it is bucketed: the quantile pass and every
+    later filter then read a number instead of the whole tier expression.
+    """
+    scored = materialize(blend_anomaly(base_risk(tier_scores(df)), anomaly))
     return explain_indicators(bucket(scored))
 
 
