@@ -1,9 +1,9 @@
 """Per-user features from event logs (AGG-1..7, JON-1..4, SCR-12).
 
 All logs are reduced to the user, the counted column and a few booleans, put
-under each other, and aggregated in one ``groupBy``: each log is scanned once
-and shuffled once after map-side combining, so a user who owns a third of the
-rows costs no more than any other. Only distinct recipients travel as
+under each other, and aggregated in one ``groupBy``: each log is shuffled once
+after map-side combining, so a user who owns a third of the rows costs no more
+than any other. Distinct recipients are counted beside it from bare
 (user, recipient) pairs, spread by both.
 """
 
@@ -32,6 +32,7 @@ from ..functions import (
 )
 from ..session import materialize
 from . import schema
+from .counting import totals_per_key
 from .statistics import exceeds, spike_cut, summarize
 
 
@@ -160,15 +161,15 @@ def _rows(log: DataFrame, kinds: Sequence[str], settings: LogSettings) -> DataFr
 
 
 def _per_user(rows: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """The one shuffle: counts per user, and which logs the user occurs in."""
-    totals = {}
+    """Counts per user, and which logs the user occurs in."""
+    totals, distinct = {}, {}
     for kind in kinds:
         spec = LOGS[kind]
         totals[f"in_{kind}"] = f"count_if(in_{kind}) > 0"
         totals |= {name: f"count_if({name})" for name in (spec.total, *spec.flags)}
         if spec.distinct:
-            totals[spec.distinct] = f"count(distinct {spec.distinct})"
-    return rows.groupBy("user").agg(*[F.expr(f"{e} as {name}") for name, e in totals.items()])
+            distinct[spec.distinct] = spec.distinct
+    return totals_per_key(rows, "user", totals, distinct)
 
 
 def _with_ratios_and_spikes(counts: DataFrame, kinds: Sequence[str]) -> DataFrame:

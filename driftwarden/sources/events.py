@@ -1,15 +1,15 @@
 """Logs and user profiles derived from an event stream.
 
 The stream has ``user_id``, ``ts``, ``event_type``, ``value`` and a JSON number
-``k`` in ``props``. Everything is a projection or one ``groupBy`` over it.
+``k`` in ``props``. Everything is a projection of it or aggregates per user.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import after_hours, external_recipient, late_night, own_ratio, weekend
+from ..operators.counting import totals_per_key
 
 _ACTIVITY = """case event_type
     when 'purchase' then if(user_id % 3 = 0, 'Copy', 'usb_copy')
@@ -65,8 +65,6 @@ _COPY = "event_type = 'purchase'"
 
 _TOTALS = {
     "label": "max(label)",
-    "active_days": "cast(count(distinct to_date(date)) as double)",
-    "unique_recipients_count": "cast(count(distinct to) as double)",
     "sent": "count(to)",
     "external": f"count_if(to is not null and {external_recipient('to')})",
     "attachment_count_avg": "avg(k % 5)",
@@ -97,11 +95,14 @@ _TOTALS = {
     "iforest_score": "-max(value)",
 }
 
+_DISTINCT = {"active_days": "to_date(date)", "unique_recipients_count": "`to`"}
+
 _GAP = "cast(`user` as bigint) % 7 = 0"
 
 _PROFILE = {
     "emails_sent_per_day": "sent / active_days",
-    "unique_recipients_count": "unique_recipients_count",
+    "active_days": "cast(active_days as double)",
+    "unique_recipients_count": "cast(unique_recipients_count as double)",
     "external_emails_ratio": own_ratio("external", "sent"),
     "attachment_count_avg": f"if({_GAP}, null, attachment_count_avg)",
     "bcc_usage_rate": f"if({_GAP}, null, bcc_usage_rate)",
@@ -121,9 +122,7 @@ def user_profiles(spark: SparkSession, folder: str) -> DataFrame:
     Some users have gaps in two columns. ``anomaly_score`` and ``iforest_score``
     are stand-ins for model output that are plain aggregates.
     """
-    totals = combined_log(spark, folder).groupBy("user").agg(
-        *[F.expr(f"{e} as {c}") for c, e in _TOTALS.items()]
-    )
+    totals = totals_per_key(combined_log(spark, folder), "user", _TOTALS, _DISTINCT)
     helpers = {"sent", "external", "off_copies", "off_clicks", "domains", "pcs", "connections"}
     kept = [c for c in _TOTALS if c not in helpers and c not in _PROFILE]
     return totals.selectExpr("`user`", *kept, *[f"{e} as {c}" for c, e in _PROFILE.items()])
