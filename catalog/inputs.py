@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftwarden import fixed
-from driftwarden.operators import logs, profiles, reports, schema, scoring
+from driftwarden.operators import logs, profiles, reports, schema
 from driftwarden.plans import flows
 from driftwarden.session import materialize, scratch_path
 from driftwarden.sources import tables
@@ -259,9 +259,6 @@ def route_by_kind(spark, folder):
     )
 
 
-_BAD = 'CASE WHEN k = 7 THEN NULL ELSE "user" END'
-
-
 @query(
     "sch_3_validate_rows",
     sql=s.sql(

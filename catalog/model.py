@@ -148,7 +148,6 @@ def rounded_suspicion(spark, folder):
 
 # --- evaluation -------------------------------------------------------------------------
 
-_YES, _HIT = "label = 1", "anomaly = 1"
 _CELLS = f"""cells AS (
   SELECT {s.n('label = 1 AND anomaly = 1')} AS tp, {s.n('label = 0 AND anomaly = 1')} AS fp,
     {s.n('label = 1 AND anomaly = 0')} AS fn, {s.n('label = 0 AND anomaly = 0')} AS tn,

@@ -280,8 +280,9 @@ ROBUST = (
 
 def _robust(x: str) -> str:
     q = f"(SELECT quantile_cont({x}, {{}}) FROM pillars)"
-    spread = f"(CASE WHEN {q.format(0.75)} = {q.format(0.25)} THEN 1 ELSE {q.format(0.75)} - {q.format(0.25)} END)"
-    return f"({x} - {q.format(0.5)}) / {spread} AS {x}"
+    low, middle, high = (q.format(p) for p in (0.25, 0.5, 0.75))
+    spread = f"(CASE WHEN {high} = {low} THEN 1 ELSE {high} - {low} END)"
+    return f"({x} - {middle}) / {spread} AS {x}"
 
 
 SCALED = f"""scaled AS (
@@ -366,10 +367,15 @@ def _indicator(tier: str, column: str, words: str) -> str:
     return f"CASE WHEN {column} > 0 AND {column} >= {cut} THEN '[{tier.upper()}] {words}' END"
 
 
-INDICATORS = "explained AS (SELECT *, coalesce(nullif(concat_ws(' | ', {}), ''), {}) AS risk_indicators FROM buckets)".format(
-    ", ".join(_indicator(t, c, words) for t in ("critical", "high") for c, _, words in WEIGHTS[t]),
-    "'No significant indicators'",
+_SHOWN = ", ".join(
+    _indicator(tier, column, words)
+    for tier in ("critical", "high")
+    for column, _, words in WEIGHTS[tier]
 )
+INDICATORS = f"""explained AS (
+  SELECT *, coalesce(nullif(concat_ws(' | ', {_SHOWN}), ''), 'No significant indicators')
+    AS risk_indicators FROM buckets
+)"""
 
 # Log flow: rule score on features with a deterministic stand-in for the model.
 DECIDED = """decided AS (
