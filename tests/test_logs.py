@@ -265,3 +265,23 @@ def test_unparseable_dates(spark):
     assert [r[0] for r in df.selectExpr(parse_date("d", strict=False)).collect()][1] is None
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         df.selectExpr(parse_date("d")).collect()
+
+
+def test_a_user_with_a_third_of_all_rows(spark):
+    """Counts and distinct recipients stay whole for a hot user."""
+    rows = spark.range(0, 30_000, 1, 12).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('u', id % 500)) as user",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60) as date",
+        "if(id % 11 = 0, null, concat('r', id % 997, '@mail.example')) as to",
+    )
+    got = by_user(logs.kind_features(rows, "email"))
+    sent: dict[str, list] = {}
+    for r in rows.collect():
+        sent.setdefault(r.user, []).append(r.to)
+    assert set(got) == set(sent)
+    for user, recipients in sent.items():
+        known = [t for t in recipients if t is not None]
+        assert pick(got[user], "email_count", "recipient_count", "external_count") == (
+            len(known), len(set(known)), len(recipients),
+        )
+    assert got["hot"]["email_spike"] == 1
