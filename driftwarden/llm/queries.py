@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, minhash_dedup, quality_pu, toxicity_knn
+from . import (
+    bpe, decontamination, license_scan, lm_scoring, metric_join, minhash_dedup, quality_pu,
+    secret_ledger, toxicity_knn, warc,
+)
 from .common import read
 from .sql import SQL
 
@@ -30,19 +33,41 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_ledger.scan_report(read(spark, folder, "documents"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(read(spark, folder, "documents"), tokenizer_path())
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(
+        read(spark, folder, "documents"), lm_scoring.trusted_documents(spark, folder)
+    )
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read(spark, folder, "pages"))
+
+
 def op7_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, folder, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_labels(read(spark, folder, "documents"))
+
+
 def op9_toxicity_knn(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     return toxicity_knn.toxicity_scores(docs, labels)
 
 
+def op10_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_join.near_vectors(read(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
