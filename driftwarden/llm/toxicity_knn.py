@@ -22,6 +22,7 @@ from .quality_pu import held_out
 
 EXAMPLES = 3_000  # labelled texts of either class, at most about
 TERMS = 8_192
+LIFT = 3  # times as frequent a term is in one class as in the other
 NEIGHBOURS = 8
 BLOCK = 256
 THRESHOLD = 0.3
@@ -71,7 +72,8 @@ def known_terms(texts: pa.Array, vocabulary: np.ndarray):
 
 
 def choose_terms(texts: pa.Array, toxic: np.ndarray, limit: int = TERMS) -> np.ndarray:
-    """The terms that differ most between the classes, by a smoothed z-score of rates."""
+    """The terms that differ most between the classes, by a smoothed z-score of rates. Words
+    that either class uses about as often only lengthen vectors and are left out."""
     both = []
     for begin, end in hashing.chunks(texts):
         hashes, at = text_terms(texts.slice(begin, end - begin))
@@ -83,7 +85,9 @@ def choose_terms(texts: pa.Array, toxic: np.ndarray, limit: int = TERMS) -> np.n
     a, b = max(int(toxic.sum()), 1), max(int((~toxic.astype(bool)).sum()), 1)
     rate = (hits + miss) / (a + b)
     z = (hits / a - miss / b) / np.sqrt((rate * (1 - rate) + 1 / (a + b)) * (1 / a + 1 / b))
-    good = np.flatnonzero((np.abs(z) >= 4) & (hits + miss >= 4))
+    one, two = (hits + 0.5) / (a + 1), (miss + 0.5) / (b + 1)
+    lift = np.maximum(one, two) / np.minimum(one, two)
+    good = np.flatnonzero((np.abs(z) >= 5) & (hits + miss >= 4) & (lift >= LIFT))
     good = good[np.argsort(-np.abs(z[good]), kind="stable")][:limit]
     return np.sort(terms[good])
 
@@ -146,7 +150,7 @@ class Index:
         """Weighted share of toxic neighbours, with the prior as one more far vote."""
         up, total = self.prior, 1.0
         for cosine, row in best:
-            w = self.weights[int(self.toxic[row])] / (1.05 - min(cosine, 1.0))
+            w = self.weights[int(self.toxic[row])] * cosine**2 / (1.05 - min(cosine, 1.0))
             up, total = up + w * self.toxic[row], total + w
         return up / total
 
@@ -191,7 +195,7 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
     vocabulary = choose_terms(texts, toxic)
     total, frequency = _frequencies(docs, vocabulary)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    votes = (1 / max(share.get(0, 1), 1e-9), 1 / max(share.get(1, 1), 1e-9))
+    votes = (share.get(1, 1) / max(share.get(0, 1), 1e-9), 1.0)  # a clean, a toxic example
     found = list(known_terms(texts, vocabulary))
     bare = np.array([not len(t) for t, _ in found], bool)
     up, down = votes[1] * toxic[bare].sum(), votes[0] * (1 - toxic[bare]).sum()
