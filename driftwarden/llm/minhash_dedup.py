@@ -130,7 +130,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(limit: int, percent: int):
-    """Pairs of different components in a bucket that may reach the threshold."""
+    """Pairs of different components in a bucket that may reach the threshold. A pair
+    that shares several buckets comes from the first of its bands only."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, comp, n, shared, block = (
@@ -138,6 +139,8 @@ def _across(limit: int, percent: int):
         )
         sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint64)
         sketch = sketch.reshape(len(node), BITS // 64)
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(node), BANDS)
+        bucket = key[0].as_py()
         crossing = key[1].as_py() != key[2].as_py()
         found = []
         for begin in range(0, len(node), 256):
@@ -153,7 +156,10 @@ def _across(limit: int, percent: int):
             apart = np.zeros(len(i), np.int64)
             for word in range(BITS // 64):
                 apart += np.bitwise_count(sketch[i, word] ^ sketch[j, word])
-            found.append(np.stack([node[i], node[j]])[:, apart <= limit])
+            i, j = i[apart <= limit], j[apart <= limit]
+            first = np.argmax(bands[i] == bands[j], axis=1)
+            i, j = i[bands[i, first] == bucket], j[bands[i, first] == bucket]
+            found.append(np.stack([node[i], node[j]]))
         pairs = np.concatenate(found, axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
@@ -188,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = store(rows.join(leaders, "bucket").select("bucket", "node", "a"), "minhash-buckets")
     nodes = members.select("node").distinct()
     marks = store(
-        classes.join(nodes, "node").select("node", "n_shingles", "sketch"), "minhash-marks"
+        classes.join(nodes, "node").select("node", "n_shingles", "sketch", "bands"), "minhash-marks"
     )
     texts = docs.join(marks.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     sets = store(
@@ -218,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .where("node = top").groupBy("node").agg(F.count("*").alias("own"))
     )
     able = marks.join(owners, "node", "left").selectExpr(
-        "node", "n_shingles", "sketch", "n_shingles - coalesce(own, 0) as shared"
+        "node", "n_shingles", "sketch", "bands", "n_shingles - coalesce(own, 0) as shared"
     ).where(f"100 * shared >= {percent} * n_shingles")
     rest = _several(rest.join(able.select("node"), "node"))
     sizes = rest.groupBy("bucket").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
@@ -227,11 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
         .withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
         .selectExpr("bucket", "least(block, other) as low", "greatest(block, other) as high",
-                    "node", "component", "n_shingles", "shared", "sketch", "block")
+                    "node", "component", "n_shingles", "shared", "sketch", "bands", "block")
     )
     crossing = dealt.groupBy("bucket", "low", "high").applyInArrow(
         _across(limit, percent), "a long, b long"
-    ).distinct()
+    )
     second = store(confirmed(store(crossing, "minhash-cross"), sets, percent), "minhash-links")
     final = components(
         labels.selectExpr("node as a", "component as b").union(second)
