@@ -23,7 +23,7 @@ from .common import bounded_batches, map_batches, read, store
 WORDS, CLASSES = 767, 256  # symbols are 0 (start), words, classes
 SYMBOLS = 1 + WORDS + CLASSES
 MIX = 0.7  # of the bigram estimate; the rest is the unigram estimate
-SMOOTH = 0.5  # added to every symbol's count
+SMOOTH = 0.01  # added to the count of every symbol; small, since the target may be small
 _HELD = 1 << 20  # distinct words after which a task's counts are merged
 
 

@@ -206,7 +206,7 @@ def records(file, wanted) -> Iterator[tuple[dict, bytes | None]]:
                 if not piece:
                     break
                 data += unpack.decompress(piece)
-                used = at
+                used += len(piece)
             headers = _headers(data.partition(b"\r\n\r\n")[0])
             want = wanted(headers)
             if want != "all" and length:
