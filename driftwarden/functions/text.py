@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,14 @@ def col(name: str) -> str:
 
 
 def number(value: float | int | None) -> str:
-    """A literal: whole numbers as they are, fractions as exact doubles."""
+    """A literal: whole numbers as they are, fractions as exact doubles; NaN and the
+    infinities by name."""
     if value is None:
         return "cast(null as double)"
     if isinstance(value, int):
         return str(value)
+    if not math.isfinite(value):
+        return f"double('{float(value)!r}')"
     return f"{float(value)!r}D"
 
 

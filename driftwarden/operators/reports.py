@@ -98,14 +98,18 @@ def score_distribution(
 def histogram(
     df: DataFrame, score: str = "anomaly_score", bins: int = 20, low: float = 0.0, high: float = 100.0
 ) -> DataFrame:
-    """AGG-16: equal bins, the last one closed; empty bins are listed with 0."""
-    number = F.least(
-        F.width_bucket(F.col(score), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)
-    )
+    """AGG-16: equal bins, the last one closed; empty bins are listed with 0.
+
+    Scores beyond either end count in the bin at that end. Missing scores (NULL or NaN)
+    have a row of their own, with NULL as bin, if there are any.
+    """
+    c = F.nullif(F.col(score).cast("double"), F.lit(float("nan")))
+    bucket = F.width_bucket(c, F.lit(low), F.lit(high), F.lit(bins))
+    number = F.when(c.isNotNull(), F.greatest(F.least(bucket, F.lit(bins)), F.lit(1)))
     counts = df.groupBy(number.cast("long").alias("bin")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin")
     width = (high - low) / bins
-    return every.join(counts, "bin", "left").select(
+    return every.join(counts, "bin", "left").union(counts.where("bin is null")).select(
         "bin",
         (F.lit(low) + (F.col("bin") - 1) * width).alias("bin_from"),
         F.coalesce("n", F.lit(0)).alias("n"),

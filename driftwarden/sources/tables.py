@@ -1,8 +1,10 @@
 """Reading and writing the tables of both flows (SRC-1..4, SNK-1..6).
 
-CSV is read with declared schemas: inferring one would scan the files twice and
-could change with the data. Parquet carries its own. Empty CSV cells are NULL,
-and a byte-order mark at the start of a file is skipped.
+CSV is read with declared types: inferring them would scan the files twice and
+could change with the data. Columns are found by the names in the header, known
+aliases included, in any order; others are kept as text. Parquet carries its own
+schema. Empty CSV cells and NaN are NULL, and a byte-order mark at the start of a
+file is skipped.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed
@@ -70,17 +73,57 @@ def feature_schema(label: bool = False) -> T.StructType:
 
 
 def read_table(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, strict: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | str | None = None,
+    strict: bool = True,
+    date_format: str | None = None,
 ) -> DataFrame:
     """CSV with a header, if the path says so, else parquet.
 
-    A value that does not fit its type raises, or is NULL if not ``strict``.
+    ``schema`` names the columns that a CSV must have; they come first, in its order.
+    A value that does not fit its type raises, or is NULL if not ``strict``. Dates are
+    ISO unless ``date_format`` gives a pattern.
     """
     first = path if isinstance(path, str) else path[0]
     if not first.rstrip("/").endswith((".csv", ".csv.gz")):
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
     reader = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    if date_format:
+        reader = reader.option("timestampNTZFormat", date_format)
+    if schema is None:
+        return reader.csv(path)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    kinds = {f.name: f.dataType for f in schema}
+    present = csv_columns(spark.read.option("header", True).csv(first).columns, kinds)
+    read = reader.schema(
+        T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in present])
+    ).csv(path)
+    return read.select(
+        *[
+            F.nullif(F.col(f"`{c}`"), F.lit(float("nan"))).alias(c) if k == T.DoubleType() else F.col(f"`{c}`")
+            for c, k in kinds.items()
+        ],
+        *[F.col(f"`{c}`") for c in present if c not in kinds],
+    )
+
+
+def csv_columns(header: Iterable[str], wanted: Iterable[str]) -> list[str]:
+    """Names of a file's columns, in its order: those that are wanted under the wanted
+    name, others trimmed. Raises if one is missing or comes twice."""
+    wanted = list(wanted)
+    by_name = {w.strip().lower(): w for w in wanted}
+    found = []
+    for name in header:
+        plain = name.lstrip("\ufeff").strip()
+        low = plain.lower()
+        found.append(by_name.get(low) or by_name.get(fixed.COLUMN_ALIASES.get(low)) or plain)
+    twice = sorted({c for c in found if found.count(c) > 1})
+    missing = [w for w in wanted if w not in found]
+    if twice or missing:
+        raise ValueError(f"the header lacks {missing} and has several of {twice}")
+    return found
 
 
 def read_profile(spark: SparkSession, path: str, columns: Iterable[str]) -> DataFrame:
@@ -89,10 +132,15 @@ def read_profile(spark: SparkSession, path: str, columns: Iterable[str]) -> Data
 
 
 def read_log(
-    spark: SparkSession, path: str, kind: str, extra: Iterable[str] = (), strict: bool = True
+    spark: SparkSession,
+    path: str,
+    kind: str,
+    extra: Iterable[str] = (),
+    strict: bool = True,
+    date_format: str | None = None,
 ) -> DataFrame:
     """SRC-2: an email, logon, file, device or combined log."""
-    return read_table(spark, path, log_schema(kind, extra), strict)
+    return read_table(spark, path, log_schema(kind, extra), strict, date_format)
 
 
 def read_features(spark: SparkSession, path: str, label: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from driftwarden import fixed
+from driftwarden.functions import number
 from driftwarden.operators import evaluation, profiles, reports, scoring
 from driftwarden.operators.forest import rounded_suspicion, suspicion
 from driftwarden.plans import flows
@@ -159,3 +160,14 @@ def test_evaluation_edges(spark):
     assert (got.accuracy, got.precision, got.recall, got.f1_score, got.roc_auc) == (1, 0, 0, 0, None)
     cells = {(r.label, r.predicted): r.n for r in evaluation.confusion_matrix(df).collect()}
     assert cells == {(0, 0): 2, (0, 1): 0, (1, 0): 0, (1, 1): 0}
+
+
+def test_histogram_keeps_scores_beyond_the_ends_and_missing_ones(spark):
+    df = spark.createDataFrame([(-3.0,), (None,), (float("nan"),), (50.0,), (150.0,)], "anomaly_score double")
+    bins = {r.bin: r.n for r in reports.histogram(df).collect() if r.n}
+    assert bins == {1: 1, 11: 1, 20: 1, None: 2}
+
+
+def test_literals_that_are_not_finite(spark):
+    row = spark.range(1).selectExpr(f"{number(float('inf'))} as a", f"{number(float('-inf'))} as b").first()
+    assert (row.a, row.b) == (float("inf"), float("-inf"))

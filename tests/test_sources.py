@@ -34,3 +34,28 @@ def test_round_trip_keeps_doubles(spark):
         path = tables.write_table(df, scratch_path(spark, "trip") + suffix)
         read = tables.read_profile(spark, path, df.columns)
         assert read.first() == df.first() and read.dtypes == df.dtypes
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "file.csv"
+    path.write_text("user,date,activity,file_name\na,2025-01-01 10:00:00,Copy,salary.xlsx\n")
+    row = tables.read_log(spark, str(path), "file").first()
+    assert (row.activity, row.file_name) == ("Copy", "salary.xlsx")
+
+
+def test_aliases_extras_and_date_format(spark, tmp_path):
+    path = tmp_path / "email.csv"
+    path.write_text("Recipient,Timestamp,User_ID,note\nx@y.z,01/31/2010 06:49:00,EMP1,hi\n")
+    log = tables.read_log(spark, str(path), "email", date_format="MM/dd/yyyy HH:mm:ss")
+    assert log.columns == ["user", "date", "to", "note"]
+    row = log.first()
+    assert (row.user, row.to, row.note, row.date.month) == ("EMP1", "x@y.z", "hi", 1)
+
+
+def test_missing_columns_raise_and_nan_is_null(spark, tmp_path):
+    path = tmp_path / "profile.csv"
+    path.write_text("risk_score_1,user\nNaN,a\n2.5,b\n")
+    rows = tables.read_profile(spark, str(path), ["user", "risk_score_1"]).collect()
+    assert [r.risk_score_1 for r in rows] == [None, 2.5]
+    with pytest.raises(ValueError):
+        tables.read_profile(spark, str(path), ["user", "risk_score_2"])
