@@ -153,6 +153,6 @@ def test_decontamination(spark):
     })
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "Tiny, item!"), (3, None), (4, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.matched, r.first_token) for r in decontamination.contaminated(docs, bench).collect()}
-    assert got == {(1, 1): (30, 80), (2, 1): (27, 80), (5, 2): (2, 0)} or set(got) == {(1, 1), (2, 1), (5, 2)}
+    assert got == {(1, 1): (30, 80), (2, 1): (27, 80), (5, 2): (2, 0)}
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
     assert decontamination.contaminated(docs.limit(0), bench).collect() == []
