@@ -74,39 +74,50 @@ def grow_tree(rows: np.ndarray, seed: Sequence[int]) -> list[tuple]:
 def draw_samples(
     df: DataFrame, columns: Sequence[str], rows: int, trees: int, sample: int, seed: int
 ) -> DataFrame:
-    """At most ``sample`` rows per tree, chosen by hash of the user id.
+    """At most ``sample`` rows per tree, chosen by hash of the user id and the features.
 
-    The choice depends on ids and seed only, not on the partitioning. Large
-    populations are thinned by one hash and dealt out by another, so trees get
-    separate rows. Small ones decide per row and tree inside one array
-    expression, and only rows that are taken are emitted.
+    Every row enters every tree with the same chance, independently, at any size of the
+    population; neither partitioning nor order matters. One hash per row gives the first
+    tree that takes it, by the law of waiting times; most rows of a large population
+    find none and are gone. Only the others are tried against the trees after that.
     """
     share = min(_OVERDRAW * sample / rows, 1.0)
     key = "cast(`user` as string)"
+    content = f"xxhash64({', '.join([key, *map(col, columns)])})"
 
     def draw(*parts: str) -> str:
-        """Uniform in [0, 1) from a hash."""
-        return f"pmod(xxhash64({', '.join(parts)}), {2**62}) / {float(2**62)!r}D"
+        """Uniform in (0, 1) from a hash."""
+        return f"(pmod(xxhash64({', '.join(parts)}), {2**52}) + 0.5D) / {float(2**52)!r}D"
 
-    if rows >= 2 * trees * sample:
-        tree = f"cast(pmod(xxhash64({key}, {seed}, 'tree'), {trees}) as int)"
-        thinned = df.where(f"{draw(key, str(seed))} < {number(share * trees)}")
+    if share < 1:
+        waiting = f"floor(ln({draw('row_hash', str(seed))}) / {number(math.log1p(-share))})"
     else:
-        picked = f"{draw(key, 'tree', str(seed))} < {number(share)}"
-        tree = f"explode(filter(sequence(0, {trees - 1}), tree -> {picked}))"
-        thinned = df
-    taken = thinned.selectExpr(
-        f"{tree} as tree_id",
-        f"{key} as row_key",
-        *[f"cast({col(c)} as double) as {col(c)}" for c in columns],
+        waiting = "0"
+    picked = f"{draw('row_hash', 'tree', str(seed))} < {number(share)}"
+    taken = (
+        df.selectExpr(
+            f"{content} as row_hash",
+            f"{key} as row_key",
+            *[f"cast({col(c)} as double) as {col(c)}" for c in columns],
+        )
+        .withColumn("first_tree", F.expr(waiting))
+        .where(F.col("first_tree") < trees)
+        .withColumn(
+            "tree_id",
+            F.expr(
+                f"explode(filter(sequence(cast(first_tree as int), {trees - 1}), "
+                f"tree -> tree = first_tree or {picked}))"
+            ),
+        )
+        .drop("first_tree")
     )
     order = Window.partitionBy("tree_id").orderBy(
-        F.expr(f"xxhash64(row_key, tree_id, {seed})"), "row_key"
+        F.expr(f"xxhash64(row_hash, tree_id, {seed})"), "row_key", *map(col, columns)
     )
     return (
         taken.withColumn("draw", F.row_number().over(order))
         .where(F.col("draw") <= sample)
-        .drop("draw")
+        .drop("draw", "row_hash")
     )
 
 
@@ -136,13 +147,13 @@ class IsolationForest:
             raise ValueError("cannot fit a forest on no rows")
         nodes = node_table(df, columns, rows, trees, sample, seed).toPandas()  # size-bounded
         forest = cls(columns, nodes, min(sample, rows), 0.0)
-        offset = forest._fit_offset(df, contamination, rows)
+        offset = forest._fit_offset(df, contamination)
         return cls(columns, nodes, forest.sample, offset)
 
-    def _fit_offset(self, df: DataFrame, contamination: float, rows: int) -> float:
+    def _fit_offset(self, df: DataFrame, contamination: float) -> float:
         """MDL-4: the score at the contamination quantile."""
         scores = materialize(df.select(self.score().alias("score")))
-        return quantiles(scores, {"score": [contamination]}, rows)["score"][contamination]
+        return quantiles(scores, {"score": [contamination]})["score"][contamination]
 
     def score(self) -> Column:
         """Minus the paper's anomaly score: in [-1, 0), lower is more anomalous."""
@@ -182,7 +193,7 @@ def node_table(
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree_id"].iloc[0])
-        data = pdf.sort_values("row_key")[list(columns)].to_numpy(dtype=float)
+        data = pdf.sort_values(["row_key", *columns])[list(columns)].to_numpy(dtype=float)
         nodes = grow_tree(data, [seed, tree])
         out = pd.DataFrame(
             nodes,

@@ -222,7 +222,7 @@ def pillar(profile: DataFrame, name: str) -> DataFrame:
 def profile_features(profile: DataFrame) -> DataFrame:
     """PIL-G: the profile with all 54 features, 16 of them robustly scaled."""
     features = ProfileFeatures(profile)
-    return robust_scale(features.table(), size=features.rows)
+    return robust_scale(features.table())
 
 
 # --- training layout ----------------------------------------------------------

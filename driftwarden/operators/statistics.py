@@ -7,6 +7,7 @@ a window without a partition key, which would move all rows into one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import aggregate, as_flag, col, number, with_expressions
 
-# Values (rows x columns) that one reducer may hold for the built-in exact
-# percentile. Larger populations are narrowed first, see ``_order_statistics``.
+# Values that the brackets of ``_order_statistics`` may hold together when they are
+# looked at one by one.
 VALUES_PER_TASK = 2_000_000
+_PARTS = 1_000
 
 _STATISTICS = {
     "n": "count({})",
@@ -62,43 +64,28 @@ def summary_table(
 def quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    size: int | None = None,
     values_per_task: int = VALUES_PER_TASK,
 ) -> dict[str, dict[float, float | None]]:
     """Exact quantiles with linear interpolation; NULLs are skipped.
 
-    ``size`` is an upper bound on the number of rows, if the caller knows one.
-    While the values fit one reducer the built-in aggregate answers in a single
-    pass. Beyond that, each rank is bracketed between two approximate quantiles,
-    the bracket is checked by counting, and only the distinct values inside it
-    are looked at, so no task ever holds a whole column.
+    Populations of every size take the same steps. Each rank starts in the bracket
+    from the smallest to the largest value. While a bracket holds more values than one
+    task should, it is narrowed by approximate quantiles and a count, or cut into
+    parts. What is left is sorted, so no task ever holds a whole column.
     """
     columns = list(wanted)
     if not columns:
         return {}
-    counts = None
-    if size is None:
-        counts = {c: s["n"] for c, s in summarize(df, columns, ("n",)).items()}
-        size = max(counts.values())
-    if size * len(columns) <= values_per_task:
-        row = aggregate(
-            df, {c: f"percentile({col(c)}, {_array(wanted[c])})" for c in columns}
-        ).first()
-        return {
-            c: dict(zip(wanted[c], row[c] if row[c] is not None else [None] * len(wanted[c])))
-            for c in columns
-        }
-    if counts is None:
-        counts = {c: s["n"] for c, s in summarize(df, columns, ("n",)).items()}
+    known = summarize(df, columns, ("n", "lo", "hi"))
     ranks = {}
     for c in columns:
         for p in wanted[c]:
-            if counts[c]:
-                position = (counts[c] - 1) * p
-                below = min(int(position), counts[c] - 1)
-                ranks[c, p] = (below, min(below + 1, counts[c] - 1), position - below)
+            if known[c]["n"]:
+                position = (known[c]["n"] - 1) * p
+                below = min(int(position), known[c]["n"] - 1)
+                ranks[c, p] = (below, min(below + 1, known[c]["n"] - 1), position - below)
     targets = {(c, k) for (c, _), (k0, k1, _) in ranks.items() for k in (k0, k1)}
-    found = _order_statistics(df, sorted(targets), counts, values_per_task)
+    found = _order_statistics(df, sorted(targets), known, values_per_task)
     result: dict[str, dict[float, float | None]] = {c: {} for c in columns}
     for c in columns:
         for p in wanted[c]:
@@ -107,7 +94,7 @@ def quantiles(
                 continue
             k0, k1, share = ranks[c, p]
             low, high = found[c, k0], found[c, k1]
-            result[c][p] = low if low == high else low + (high - low) * share
+            result[c][p] = low if share == 0 or low == high else low + (high - low) * share
     return result
 
 
@@ -125,7 +112,20 @@ class _Bracket:
     high: float
     below: int
     inside: int
-    final: bool = False
+
+    @property
+    def found(self) -> bool:
+        return self.low == self.high or (self.low != self.low and self.high != self.high)
+
+    def part(self) -> str:
+        """Number of the part of equal width; the two ends are parts of their own."""
+        value, low, high = self.inside_value(), number(self.low), number(self.high)
+        width = self.high / 2 - self.low / 2
+        inner = "1"
+        if math.isfinite(width) and width:
+            share = f"({value} / 2 - {number(self.low / 2)}) / {number(width)}"
+            inner = f"1 + cast(least(greatest({share}, 0), 0.999999D) * {_PARTS} as int)"
+        return f"case when {value} = {low} then 0 when {value} = {high} then {_PARTS + 1} else {inner} end"
 
     def inside_value(self) -> str:
         value = f"cast({col(self.column)} as double)"
@@ -135,29 +135,35 @@ class _Bracket:
 def _order_statistics(
     df: DataFrame,
     targets: Sequence[tuple[str, int]],
-    counts: Mapping[str, int],
+    known: Mapping[str, Mapping[str, float]],
     values_per_task: int,
 ) -> dict[tuple[str, int], float]:
-    bounds = summarize(df, [c for c, _ in targets], ("lo", "hi"))
     brackets = [
-        _Bracket(c, k, float(bounds[c]["lo"]), float(bounds[c]["hi"]), 0, counts[c])
+        _Bracket(c, k, float(known[c]["lo"]), float(known[c]["hi"]), 0, known[c]["n"])
         for c, k in targets
     ]
     room = max(values_per_task // max(len(brackets), 1), 1)
-    while True:
-        wide = [b for b in brackets if not b.final and b.low < b.high and b.inside > room]
-        if not wide:
-            break
-        _narrow(df, wide)
-    answers = {(b.column, b.rank): b.low for b in brackets if b.low == b.high}
-    rest = [b for b in brackets if b.low < b.high]
+
+    def wide() -> list[_Bracket]:
+        return [b for b in brackets if not b.found and b.inside > room]
+
+    while wide():
+        stuck = _narrow(df, wide())
+        stuck = [b for b in stuck if not b.found and b.inside > room]
+        if stuck:
+            _cut(df, stuck)
+    answers = {(b.column, b.rank): b.low for b in brackets if b.found}
+    rest = [b for b in brackets if not b.found]
     if rest:
         answers |= _pick_inside(df, rest)
     return answers
 
 
-def _narrow(df: DataFrame, brackets: Sequence[_Bracket], accuracy: int = 10_000) -> None:
-    """Tighten each bracket around its rank; two passes for all of them."""
+def _narrow(
+    df: DataFrame, brackets: Sequence[_Bracket], accuracy: int = 10_000
+) -> list[_Bracket]:
+    """Tighten each bracket around its rank; two passes for all of them. Returns those
+    that stay as they are: a guess missed its rank, or repeated values fill it."""
     margin = 3.0 / accuracy
     guesses = {}
     for i, b in enumerate(brackets):
@@ -171,27 +177,50 @@ def _narrow(df: DataFrame, brackets: Sequence[_Bracket], accuracy: int = 10_000)
         checks[f"below{i}"] = f"count_if({col(b.column)} < {low})"
         checks[f"inside{i}"] = f"count_if({col(b.column)} between {low} and {high})"
     check = aggregate(df, checks).first()
+    stuck = []
     for i, b in enumerate(brackets):
         low, high = guess[f"guess{i}"]
         below, inside = check[f"below{i}"], check[f"inside{i}"]
         if below <= b.rank < below + inside and inside < b.inside:
             b.low, b.high, b.below, b.inside = low, high, below, inside
         else:
-            # A guess that missed its rank, or repeated values that fill the
-            # bracket. The last step is exact for any bracket.
-            b.final = True
+            stuck.append(b)
+    return stuck
 
 
-def _pick_inside(df: DataFrame, brackets: Sequence[_Bracket]) -> dict[tuple[str, int], float]:
-    """Count distinct values inside each bracket and walk up to the rank."""
-    entries = [
-        f"named_struct('bracket', {i}, 'value', {b.inside_value()})" for i, b in enumerate(brackets)
+def _entries(brackets: Sequence[_Bracket], extra: str = "") -> str:
+    rows = [
+        f"named_struct('bracket', {i}, 'value', {b.inside_value()}{extra and f', {extra!r}, {b.part()}'})"
+        for i, b in enumerate(brackets)
     ]
-    occurrences = (
-        df.selectExpr(f"inline(array({', '.join(entries)}))")
+    return f"inline(array({', '.join(rows)}))"
+
+
+def _cut(df: DataFrame, brackets: Sequence[_Bracket]) -> None:
+    """Count parts of each bracket and go on with the one that holds its rank. Every cut
+    sets the two end values apart, so a bracket always shrinks."""
+    parts = (
+        df.selectExpr(_entries(brackets, "part"))
         .where("value is not null")
-        .groupBy("bracket", "value")
-        .count()
+        .groupBy("bracket", "part")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .orderBy("bracket", "part")
+        .collect()  # brackets x parts at most
+    )
+    passed = [b.below for b in brackets]
+    done = set()
+    for r in parts:
+        b = brackets[r.bracket]
+        if r.bracket not in done and passed[r.bracket] + r.n > b.rank:
+            b.low, b.high, b.below, b.inside = r.low, r.high, passed[r.bracket], r.n
+            done.add(r.bracket)
+        passed[r.bracket] += r.n
+
+
+def _pick_inside(df: DataFrame, brackets: Sequence[_Bracket]) -> dict[tuple[str, int], float]:
+    """Walk up to the rank in each bracket; all brackets together are small."""
+    occurrences = (
+        df.selectExpr(_entries(brackets)).where("value is not null").groupBy("bracket", "value").count()
     )
     running = Window.partitionBy("bracket").orderBy("value")
     steps = ", ".join(f"{b.rank - b.below}L" for b in brackets)
@@ -212,8 +241,8 @@ def quantile_table(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> Data
     return df.sparkSession.createDataFrame(rows, "column_name string, p double, value double")
 
 
-def medians(df: DataFrame, columns: Sequence[str], size: int | None = None) -> dict[str, float]:
-    fitted = quantiles(df, {c: [0.5] for c in columns}, size)
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    fitted = quantiles(df, {c: [0.5] for c in columns})
     return {c: fitted[c][0.5] for c in columns}
 
 
@@ -275,11 +304,9 @@ def add_unit_range(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
     )
 
 
-def robust_scale(
-    df: DataFrame, columns: Sequence[str] = fixed.ROBUST_SCALED, size: int | None = None
-) -> DataFrame:
+def robust_scale(df: DataFrame, columns: Sequence[str] = fixed.ROBUST_SCALED) -> DataFrame:
     """NRM-5: distance from the median in interquartile ranges, in place."""
-    fitted = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, size)
+    fitted = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
 
     def scaled(c: str) -> str:
         q1, middle, q3 = (fitted[c][p] for p in (0.25, 0.5, 0.75))
@@ -295,7 +322,7 @@ def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df, {"|rows": "count(*)", **{c: f"count({col(c)})" for c in columns}}
     ).first()
     holed = [c for c in columns if row[c] < row["|rows"]]
-    middle = medians(df, holed, row["|rows"])
+    middle = medians(df, holed)
     return with_expressions(
         df, {c: f"coalesce(cast({col(c)} as double), {number(middle[c])})" for c in holed}
     )

@@ -61,15 +61,20 @@ def test_partitioning_does_not_change_the_forest(fitted):
     assert model.offset == again.offset
 
 
-def test_samples_are_bounded_on_both_ways(spark):
+@pytest.mark.parametrize("trees", [100, 20])
+def test_samples_follow_one_law(spark, trees):
     df = materialize(spark.range(6000).selectExpr("cast(id as string) as user", "rand(1) as f0"))
-    few = forest.draw_samples(df, ["f0"], 6000, 100, 64, 1).groupBy("tree_id").count().collect()
-    assert len(few) == 100 and all(50 <= r["count"] <= 64 for r in few)
-    many = forest.draw_samples(df, ["f0"], 6000, 20, 64, 1)
-    sizes = [r["count"] for r in many.groupBy("tree_id").count().collect()]
-    assert len(sizes) == 20 and max(sizes) <= 64 and min(sizes) >= 48
-    # Large populations give every tree its own rows.
-    assert many.count() == many.select("row_key").distinct().count()
+    drawn = forest.draw_samples(df, ["f0"], 6000, trees, 64, 1).groupBy("tree_id").count().collect()
+    sizes = [r["count"] for r in drawn]
+    assert len(sizes) == trees and max(sizes) <= 64 and np.mean(sizes) > 62 and min(sizes) >= 48
+
+
+def test_rows_without_a_user_are_drawn_apart(spark):
+    df = spark.range(6000).selectExpr("if(id < 4000, null, cast(id as string)) as user", "rand(1) as f0")
+    drawn = forest.draw_samples(materialize(df), ["f0"], 6000, 50, 64, 1)
+    shares = drawn.groupBy("tree_id").agg({"*": "count", "row_key": "count"}).collect()
+    assert len(shares) == 50
+    assert sum(r["count(row_key)"] for r in shares) / sum(r["count(1)"] for r in shares) == pytest.approx(1 / 3, abs=0.05)
 
 
 def test_model_survives_storage(spark, fitted):

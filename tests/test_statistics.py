@@ -1,4 +1,4 @@
-"""Exact quantiles on both ways, and the numeric edge rules."""
+"""Exact quantiles with much and little room, and the numeric edge rules."""
 
 import numpy as np
 import pytest
@@ -32,7 +32,7 @@ def test_narrowed_quantiles_equal_brute_force(spark, kind):
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60), st.floats(0, 1))
-def test_both_ways_agree(spark, values, p):
+def test_narrow_brackets_agree(spark, values, p):
     df = column(spark, values)
     small = stats.quantiles(df, {"x": [p]})["x"][p]
     narrowed = stats.quantiles(df, {"x": [p]}, values_per_task=1)["x"][p]
@@ -46,6 +46,19 @@ def test_quantiles_of_nothing(spark):
     assert stats.quantiles(df, {"x": [0.5]}, values_per_task=0)["x"][0.5] is None
 
 
+def test_quantiles_with_values_that_are_not_finite(spark):
+    df = column(spark, [1.0, 2.0, 3.0, float("inf"), float("nan")])
+    for room in (1, 1000):
+        got = stats.quantiles(df, {"x": [0.0, 0.25, 0.5, 0.75, 1.0]}, values_per_task=room)["x"]
+        assert list(got.values())[:4] == [1.0, 2.0, 3.0, float("inf")] and got[1.0] != got[1.0]
+
+
+def test_two_values_that_fill_a_bracket(spark):
+    df = spark.range(5000).selectExpr("cast(id % 2 as double) as x").union(column(spark, [0.4, 0.5]))
+    got = stats.quantiles(df, {"x": [0.5, 0.2, 0.9]}, values_per_task=3)["x"]
+    assert got == {0.5: 0.45, 0.2: 0.0, 0.9: 1.0}
+
+
 def test_one_row_has_no_deviation(spark):
     row = stats.add_zscores(column(spark, [3.0]), {"z": "x"}).first()
     assert row.z is None
