@@ -178,3 +178,20 @@ def forward_signals(spark, folder):
     log = combined_log(spark, folder)
     features = logs.log_features(log).select("user", "login_count")
     return rounded(logs.forward_signals(features, log))
+
+
+@query(
+    "scr_12_signals_of_separate_logs",
+    sql=s.sql(
+        _SIGNALS,
+        'SELECT "user", login_count, activity, round(risk_multiplier, 6) + 0.0 AS risk_multiplier'
+        ' FROM features LEFT JOIN signals USING ("user")',
+    ),
+)
+def signals_of_separate_logs(spark, folder):
+    """Equal to the signals of one combined log: activities and multipliers are gathered
+    from whichever log has them."""
+    log = combined_log(spark, folder)
+    parts = kind_logs(spark, folder) | {"device": log.select("user", "date", "device", "risk_multiplier")}
+    features = logs.log_features(parts).select("user", "login_count")
+    return rounded(logs.forward_signals(features, logs.signal_events(list(parts.values()))))

@@ -71,9 +71,10 @@ def log_risk(spark, folder):
 @query("profile_risk_with_model")
 def profile_risk(spark, folder):
     profile = materialize(user_profiles(spark, folder).drop("anomaly_score", "iforest_score"))
-    model = flows.train_profile_model(materialize(profiles.profile_features(profile)))
+    features = materialize(profiles.profile_features(profile))
+    model = flows.train_profile_model(features)
     return rounded(
-        flows.assess_profiles(profile, model).select(
+        flows.assess_features(features, model).select(
             "user", "iforest_prediction", "iforest_raw_score", "base_risk_score",
             "anomaly_model_score", "final_risk_score", "risk_tier", "risk_indicators",
         )

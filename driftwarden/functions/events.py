@@ -20,9 +20,13 @@ def _one_of(values: Sequence[str]) -> str:
     return ", ".join(map(text, values))
 
 
-def parse_date(column: str, strict: bool = True) -> str:
-    """Text to timestamp; unparseable text raises, or is NULL if not strict."""
-    return f"{'cast' if strict else 'try_cast'}({column} as timestamp_ntz)"
+def parse_date(column: str, strict: bool = True, pattern: str | None = None) -> str:
+    """Text to timestamp, ISO without a pattern; unparseable text raises, or is NULL if
+    not strict."""
+    if pattern is None:
+        return f"{'cast' if strict else 'try_cast'}({column} as timestamp_ntz)"
+    parse = "to_timestamp" if strict else "try_to_timestamp"
+    return f"cast({parse}({column}, {text(pattern)}) as timestamp_ntz)"
 
 
 def event_hour(date: str) -> str:

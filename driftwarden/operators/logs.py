@@ -25,6 +25,7 @@ from ..functions import (
     external_recipient,
     late_night,
     own_ratio,
+    parse_date,
     sensitive_file,
     unknown_device,
     weekend,
@@ -38,7 +39,7 @@ from .statistics import exceeds, spike_cut, summarize
 
 @dataclass(frozen=True)
 class LogSettings:
-    """Words and hours that decide the row flags."""
+    """Words that decide the row flags, and how dates that are text are read."""
 
     domain: str = fixed.COMPANY_DOMAIN
     failure_word: str = fixed.FAILURE_WORD
@@ -47,6 +48,8 @@ class LogSettings:
     sensitive_extensions: Sequence[str] = fixed.SENSITIVE_EXTENSIONS
     trusted_devices: Sequence[str] = fixed.TRUSTED_DEVICES
     critical_activities: Sequence[str] = fixed.CRITICAL_ACTIVITIES
+    date_format: str | None = None
+    strict_dates: bool = True
 
 
 DEFAULTS = LogSettings()
@@ -142,6 +145,15 @@ LOGS: dict[str, LogKind] = {
 }
 
 
+def dated(log: DataFrame, settings: LogSettings = DEFAULTS) -> DataFrame:
+    """Text dates become timestamps; text that is no date raises, or is NULL if dates are
+    not strict."""
+    if dict(log.dtypes).get("date") != "string":
+        return log
+    parsed = parse_date("`date`", settings.strict_dates, settings.date_format)
+    return with_expressions(log, {"date": parsed})
+
+
 def _rows(log: DataFrame, kinds: Sequence[str], settings: LogSettings) -> DataFrame:
     """User, per-kind counted marks and booleans of one log."""
     columns: dict[str, str] = {}
@@ -188,7 +200,7 @@ def _with_ratios_and_spikes(counts: DataFrame, kinds: Sequence[str]) -> DataFram
 def kind_features(log: DataFrame, kind: str, settings: LogSettings = DEFAULTS) -> DataFrame:
     """AGG-1..4: the nine features of one kind of log."""
     schema.require_columns(log, kind)
-    rows = _rows(log, [kind], settings)
+    rows = _rows(dated(log, settings), [kind], settings)
     return _with_ratios_and_spikes(_per_user(rows, [kind]), [kind]).select(
         "user", *LOGS[kind].outputs
     )
@@ -207,7 +219,7 @@ def log_features(
     statistics were taken over the users present in it.
     """
     if isinstance(logs, DataFrame):
-        log = schema.canonical_names(logs)
+        log = dated(schema.canonical_names(logs), settings)
         chosen = list(kinds) if kinds else schema.matching_kinds(log.columns)
         if not chosen:
             return schema.ready_features(log)
@@ -215,7 +227,10 @@ def log_features(
             schema.require_columns(log, kind)
         rows = _rows(log, chosen, settings)
     else:
-        named = {k: schema.require_columns(schema.canonical_names(l), k) for k, l in logs.items()}
+        named = {
+            k: schema.require_columns(dated(schema.canonical_names(l), settings), k)
+            for k, l in logs.items()
+        }
         chosen = [k for k in fixed.LOG_KINDS if k in named and (kinds is None or k in kinds)]
         rows = reduce(
             lambda a, b: a.unionByName(b, allowMissingColumns=True),
@@ -291,6 +306,21 @@ def threat_signals(log: DataFrame, settings: LogSettings = DEFAULTS) -> DataFram
     return reduced.groupBy("user").agg(*signals)
 
 
+def signal_events(
+    logs: Sequence[DataFrame], settings: LogSettings = DEFAULTS
+) -> DataFrame | None:
+    """User, date, activity and multiplier of all events of the logs that have them."""
+    wanted = ("user", "date", "activity", "risk_multiplier")
+    frames = []
+    for log in map(schema.canonical_names, logs):
+        present = [c for c in wanted if c in log.columns]
+        if "user" in present and ({"date", "activity"} <= {*present} or "risk_multiplier" in present):
+            frames.append(dated(log.select(*present), settings))
+    if not frames:
+        return None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def forward_signals(
     features: DataFrame, log: DataFrame, settings: LogSettings = DEFAULTS
 ) -> DataFrame:

@@ -23,7 +23,7 @@ from ..session import materialize
 
 def train_log_model(profile: DataFrame, **settings: object) -> AnomalyModel:
     """Fit the log flow's model on the training layout of user profiles."""
-    training = materialize(training_layout(profile).fillna(0))
+    training = materialize(training_layout(materialize(profile)).fillna(0))
     return AnomalyModel.fit(
         training, fixed.LOG_FEATURES, **{"trees": fixed.LOG_TREES, **settings}
     )
@@ -60,23 +60,32 @@ def assess_log(
     model: AnomalyModel,
     settings: log_ops.LogSettings = log_ops.DEFAULTS,
 ) -> DataFrame:
-    """Raw log to threat table: features, forwarded signals, model and rules."""
+    """Raw log, or one log per kind, to threat table: features, forwarded signals,
+    model and rules. Equal events give equal threats, in one log or in several."""
     features = log_ops.log_features(log, settings)
-    if isinstance(log, DataFrame):
-        named = schema.canonical_names(log)
-        if "user" in named.columns:
-            features = log_ops.forward_signals(features, named, settings)
+    logs = [log] if isinstance(log, DataFrame) else list(log.values())
+    events = log_ops.signal_events(logs, settings)
+    if events is not None:
+        features = log_ops.forward_signals(features, events, settings)
     return analyze_threats(features, model)
 
 
-def assess_profiles(profile: DataFrame, model: AnomalyModel | None = None) -> DataFrame:
+def assess_profiles(
+    profile: DataFrame, model: AnomalyModel | None = None, blended: str = "iforest_raw_score"
+) -> DataFrame:
     """User profiles to risk tiers with indicators; blends the model if given."""
-    features = materialize(profile_features(materialize(profile)))
+    return assess_features(materialize(profile_features(materialize(profile))), model, blended)
+
+
+def assess_features(
+    features: DataFrame, model: AnomalyModel | None = None, blended: str = "iforest_raw_score"
+) -> DataFrame:
+    """The same from ready profile features. ``blended`` names the model's score that the
+    blend takes as lower for more anomalous users; ``iforest_anomaly_score`` is higher
+    for them, so that it lowers their risk."""
     if model is None:
         return score_profiles(features)
-    scored = materialize(add_predictions(features, model))
-    # The blend takes a score that is lower for more anomalous users.
-    return score_profiles(scored, anomaly="iforest_raw_score")
+    return score_profiles(materialize(add_predictions(features, model)), anomaly=blended)
 
 
 def add_predictions(features: DataFrame, model: AnomalyModel) -> DataFrame:

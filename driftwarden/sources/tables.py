@@ -139,8 +139,18 @@ def read_log(
     strict: bool = True,
     date_format: str | None = None,
 ) -> DataFrame:
-    """SRC-2: an email, logon, file, device or combined log."""
-    return read_table(spark, path, log_schema(kind, extra), strict, date_format)
+    """SRC-2: an email, logon, file, device or combined log.
+
+    If not ``strict``, dates that do not fit stay as text for ``schema.row_problems`` to
+    count, and features read them under ``LogSettings(strict_dates=False)``; with a
+    ``date_format`` they are NULL.
+    """
+    kinds = log_schema(kind, extra)
+    if not strict and date_format is None:
+        kinds = T.StructType([
+            T.StructField(f.name, T.StringType() if f.name == "date" else f.dataType) for f in kinds
+        ])
+    return read_table(spark, path, kinds, strict, date_format)
 
 
 def read_features(spark: SparkSession, path: str, label: bool = False) -> DataFrame:

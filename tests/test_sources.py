@@ -2,7 +2,7 @@
 
 import pytest
 
-from driftwarden.operators import logs
+from driftwarden.operators import logs, schema
 from driftwarden.session import scratch_path
 from driftwarden.sources import tables
 
@@ -25,7 +25,18 @@ def test_strict_and_permissive_reading(spark, tmp_path):
     path.write_text("user,date,activity\na,whenever,Logon\n")
     with pytest.raises(Exception):
         tables.read_log(spark, str(path), "logon").collect()
-    assert tables.read_log(spark, str(path), "logon", strict=False).first().date is None
+    log = tables.read_log(spark, str(path), "logon", strict=False)
+    assert schema.row_problems({"logon": log}).first().bad_dates == 1
+    with pytest.raises(Exception):
+        logs.kind_features(log, "logon").collect()
+    loose = logs.LogSettings(strict_dates=False)
+    assert logs.kind_features(log, "logon", loose).first().login_count == 0
+
+
+def test_text_dates_with_a_format(spark):
+    log = spark.createDataFrame([("a", "01/02/2010 23:49:00", "x@y.z")], "user string, date string, to string")
+    form = logs.LogSettings(date_format="MM/dd/yyyy HH:mm:ss")
+    assert logs.log_features(log, form).first().late_night_count == 1
 
 
 def test_round_trip_keeps_doubles(spark):
