@@ -68,15 +68,24 @@ def quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Exact quantiles with linear interpolation; NULLs are skipped.
 
-    Populations of every size take the same steps. Each rank starts in the bracket
-    from the smallest to the largest value. While a bracket holds more values than one
-    task should, it is narrowed by approximate quantiles and a count, or cut into
-    parts. What is left is sorted, so no task ever holds a whole column.
+    Values that fit one reducer are left to the built-in exact aggregate. Beyond that,
+    each rank starts in the bracket from the smallest to the largest value. While a
+    bracket holds more values than one task should, it is narrowed by approximate
+    quantiles and a count, or cut into parts. What is left is sorted, so no task ever
+    holds a whole column.
     """
     columns = list(wanted)
     if not columns:
         return {}
     known = summarize(df, columns, ("n", "lo", "hi"))
+    if max(k["n"] for k in known.values()) * len(columns) <= values_per_task:
+        row = aggregate(
+            df, {c: f"percentile({col(c)}, {_array(wanted[c])})" for c in columns}
+        ).first()
+        return {
+            c: dict(zip(wanted[c], row[c] if row[c] is not None else [None] * len(wanted[c])))
+            for c in columns
+        }
     ranks = {}
     for c in columns:
         for p in wanted[c]:
