@@ -1,12 +1,18 @@
 """Cross-entropy difference between matched n-gram models.
 
 A target model learns from trusted texts and a background model from all texts. Both
-are bigram models over one vocabulary: the most frequent words of the corpus, and a
-fixed number of classes that all other words are hashed to, so that every word has a
-symbol and both models spread their mass over the same symbols. Words, then pairs of
-symbols, are counted over the whole corpus: each task adds up its own texts, Spark adds
-up the tasks. The models are square matrices whose size the vocabulary fixes. A text's
-score is the mean over its tokens of the target loss less the background loss.
+share one vocabulary: every word of the corpus. The most frequent words are classes of
+their own and all others fall into hashed classes; the probability of a word is that of
+its class after the class before it, times that of the word within its class. Words,
+then pairs of classes, are counted over the whole corpus: each task adds up its own
+texts, Spark adds up the tasks. The pairs are square matrices whose size the classes
+fix; the table of words grows with the corpus.
+
+Words that make up at least one of ``COMMON`` tokens each (no more than ``COMMON`` words
+can) travel with the scoring tasks. All others stay in a table that Spark joins with the
+rarer words of the texts; such a word has few rows by definition, so the join has no hot
+key. A text's score is the mean over its tokens of the target loss less the background
+loss.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ WORDS, CLASSES = 767, 256  # symbols are 0 (start), words, classes
 SYMBOLS = 1 + WORDS + CLASSES
 MIX = 0.7  # of the bigram estimate; the rest is the unigram estimate
 SMOOTH = 0.01  # added to the count of every symbol; small, since the target may be small
+WITHIN = 0.5  # added to the count of every word within its class
+COMMON = 1 << 20  # a word with this share of all tokens is scored inside the tasks
 _HELD = 1 << 20  # distinct words after which a task's counts are merged
 
 
@@ -34,9 +42,13 @@ def tokens(texts: pa.Array) -> Iterator[np.ndarray]:
             yield words[at[i] : at[i + 1]]
 
 
+def word_class(words: np.ndarray) -> np.ndarray:
+    return (hashing.mix(words) % np.uint64(CLASSES)).astype(np.int64)
+
+
 def symbols(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Symbols of word hashes; ``vocabulary`` holds the sorted hashes of frequent words."""
-    other = 1 + WORDS + (hashing.mix(words) % np.uint64(CLASSES)).astype(np.int64)
+    other = 1 + WORDS + word_class(words)
     if not len(vocabulary):
         return other
     at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
@@ -51,7 +63,7 @@ def _merged(parts: list) -> list:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) by hash over all texts; one partial count for each word and task."""
+    """(word, class, n) by hash over all texts; one partial count for each word and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -73,12 +85,33 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def _rows(part) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(part[0]), 1 << 16):
             piece = slice(at, at + (1 << 16))
+            words, n = part[0][piece], part[1][piece]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[0][piece].view(np.int64)), pa.array(part[1][piece])], ["word", "n"]
+                [pa.array(words.view(np.int64)), pa.array(word_class(words)), pa.array(n)], ["word", "class", "n"]
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "word long, class long, n long")
+    return found.groupBy("word", "class").agg(F.sum("n").alias("n"))
+
+
+def word_losses(everywhere: DataFrame, target: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(word, n, target_loss, background_loss) of every word that is not ``frequent``:
+    negative log probabilities within its class. ``everywhere`` and ``target`` are word
+    counts; ``frequent`` has at most ``WORDS`` rows."""
+    words = (
+        everywhere.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+        .join(target.selectExpr("word", "n as target"), "word", "left")
+        .selectExpr("word", "class", "n", "coalesce(target, 0) as target")
+    )
+    words = store(words, "lm-words")
+    classes = words.groupBy("class").agg(
+        F.count("*").alias("size"), F.sum("n").alias("all_n"), F.sum("target").alias("all_target")
+    )
+    loss = "-ln(({0} + {1}D) / (all_{0} + {1}D * size)) as {2}_loss"
+    return words.join(F.broadcast(classes), "class").selectExpr(  # at most CLASSES rows
+        "word", "n", loss.format("target", WITHIN, "target"), loss.format("n", WITHIN, "background")
+    )
 
 
 def pair_counts(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -119,7 +152,30 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(both, 1e-300)).astype(np.float32)
 
 
-def cross_entropy_difference(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def _text_losses(model, vocabulary: np.ndarray):
+    """Sums of losses over the tokens of each text, and the words left to the join."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        target, background, common, within = model.value
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "target", "background", "words", "counts")}
+        for words in tokens(batch.column("text")):
+            s = symbols(words, vocabulary)
+            before = np.concatenate([[0], s[:-1]]).astype(np.int64)
+            rare, counts = np.unique(words[s > WORDS], return_counts=True)
+            at = np.minimum(np.searchsorted(common, rare), max(len(common) - 1, 0))
+            known = common[at] == rare if len(common) else np.zeros(len(rare), bool)
+            inside = within[:, at[known]] @ counts[known] if known.any() else np.zeros(2)
+            out["n_tokens"].append(len(s))
+            out["target"].append(float(target[before, s].sum(dtype=float) + inside[0]) if len(s) else 0.0)
+            out["background"].append(float(background[before, s].sum(dtype=float) + inside[1]) if len(s) else 0.0)
+            out["words"].append(rare[~known].view(np.int64))
+            out["counts"].append(counts[~known])
+        return {"doc_id": batch.column("doc_id"), "version": batch.column("version"), **out}
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, common: int = COMMON) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss and
     score, their difference (below 0: closer to the target), each a mean over tokens.
 
@@ -129,32 +185,52 @@ def cross_entropy_difference(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    everywhere = store(word_counts(docs), "lm-counts")
+    top = everywhere.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     vocabulary = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+    frequent = spark.createDataFrame([(r.word,) for r in top], "word long")
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     rows = docs.join(marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = np.zeros((2, SYMBOLS * SYMBOLS))
     for r in store(pair_counts(rows, vocabulary), "pair-counts").toLocalIterator():  # at most SYMBOLS squared
         counts[:, r.pair] = r.target, r.background
     counts = counts.reshape(2, SYMBOLS, SYMBOLS)
-    if not counts[0].any():
-        counts[0] = counts[1]
-    model = spark.sparkContext.broadcast(np.stack([losses(c) for c in counts]))  # 8 MB
-
-    def score(batch: pa.RecordBatch) -> dict:
-        target, background = model.value
-        out: dict[str, list] = {"n_tokens": [], "target_loss": [], "background_loss": [], "score": []}
-        for words in tokens(batch.column("text")):
-            s = symbols(words, vocabulary)
-            before = np.concatenate([[0], s[:-1]]).astype(np.int64)
-            t, b = (float(m[before, s].mean(dtype=float)) if len(s) else 0.0 for m in (target, background))
-            out["n_tokens"].append(len(s))
-            out["target_loss"].append(t)
-            out["background_loss"].append(b)
-            out["score"].append(float((target[before, s] - background[before, s]).mean(dtype=float)) if len(s) else 0.0)
-        return {"doc_id": batch.column("doc_id"), **out}
-
-    return map_batches(docs, score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    if counts[0].any():
+        target = word_counts(docs.join(marks, "doc_id"))
+    else:
+        target, counts[0] = everywhere, counts[1]
+    words = store(word_losses(everywhere, target, frequent), "lm-losses")
+    least = int(counts[1].sum()) / common
+    near = words.where(F.col("n") >= least).drop("n").orderBy("word").toArrow()  # at most ``common`` rows
+    keys = near["word"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    within = np.stack([near[c].to_numpy()[order] for c in ("target_loss", "background_loss")])
+    # Two matrices of 4 MB, and 24 bytes for each common word.
+    model = spark.sparkContext.broadcast((*(losses(c) for c in counts), keys[order], within))
+
+    # Equal texts have equal sums, so rows with the same doc_id and text may share theirs.
+    key = ["doc_id", "version"]
+    scored = store(
+        map_batches(
+            docs.withColumn("version", F.xxhash64("text")), _text_losses(model, vocabulary),
+            "doc_id long, version long, n_tokens long, target double, background double, "
+            "words array<long>, counts array<long>",
+        ),
+        "lm-texts",
+    )
+    rest = (
+        scored.selectExpr(*key, "explode(arrays_zip(words, counts)) as w")
+        .selectExpr(*key, "w.words as word", "w.counts as times")
+        .join(words.where(F.col("n") < least), "word")
+        .groupBy(*key)
+        .agg(*[F.expr(f"sum({c}_loss * times) / sum(times) as {c}_rest") for c in ("target", "background")])
+        .toDF("id", "of", "target_rest", "background_rest")
+    )
+    left = "aggregate(counts, 0L, (s, x) -> s + x)"
+    mean = "case when n_tokens > 0 then ({0} + " + left + " * coalesce({0}_rest, 0)) / n_tokens else 0D end as {0}_loss"
+    return scored.join(rest, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("of")), "left").selectExpr(
+        "doc_id", "n_tokens", mean.format("target"), mean.format("background")
+    ).selectExpr("*", "target_loss - background_loss as score")
 
 
 def trusted_documents(spark, folder: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """Classifiers, language models and the pipeline."""
 
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import cases
 from driftwarden.llm import hashing, lm_scoring, quality_pu, queries, toxicity_knn
@@ -74,6 +79,55 @@ def test_language_models(spark):
     assert {r.score for r in lm_scoring.cross_entropy_difference(docs, docs.limit(0)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("common", [1 << 20, 1])
+def test_language_model_scores_match_brute_force(spark, common):
+    """Far more words than classes; with ``common`` 1 every rarer word goes through the join."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(2500)]
+    rows = {i: " ".join(draw.choices(words, [1 / (k + 9) for k in range(2500)], k=draw.choice([3, 80, 700]))) for i in range(40)}
+    rows |= {50: rows[0], 51: None, 52: ""}
+    docs = cases.documents(spark, rows).union(cases.documents(spark, {0: rows[0], 7: "w1 only"}))
+    pairs = [*rows.items(), (0, rows[0]), (7, "w1 only")]
+    spans = [(i, [w for w in (t or "").split()]) for i, t in pairs]
+    trusted = {0, 3, 5, 9}
+    every, good = (Counter(w for i, t in spans if i in kept for w in t) for kept in (rows, trusted))
+    code = {w: int(hashing.word_hashes(cases.arrow([w]))[0].view(np.int64)[0]) for w in every}
+    top = sorted(every, key=lambda w: (-every[w], code[w]))[: lm_scoring.WORDS]
+    kind = {w: w if w in set(top) else int(lm_scoring.word_class(np.array([code[w]]).view(np.uint64))[0]) for w in every}
+    symbols = [*top, *range(lm_scoring.CLASSES)]
+
+    def model(kept, counts):
+        after, both, single, size, within = Counter(), Counter(), Counter(), Counter(kind.values()), Counter()
+        for i, t in spans:
+            if i in kept:
+                for x, y in zip([None, *(kind[w] for w in t)], (kind[w] for w in t)):
+                    after[x], both[x, y], single[y] = after[x] + 1, both[x, y] + 1, single[y] + 1
+        for w, n in counts.items():
+            within[kind[w]] += n
+        total = sum(single.values()) + lm_scoring.SMOOTH * len(symbols)
+
+        def loss(x, w):
+            y = kind[w]
+            p = (single[y] + lm_scoring.SMOOTH) / total
+            if after[x]:
+                p = lm_scoring.MIX * both[x, y] / after[x] + (1 - lm_scoring.MIX) * p
+            if isinstance(y, int):
+                p *= (counts[w] + lm_scoring.WITHIN) / (within[y] + lm_scoring.WITHIN * size[y])
+            return -math.log(p)
+
+        return loss
+
+    target, background = model(trusted, good), model(rows, every)
+    want = sorted(
+        (i, *(sum(f(x, w) for x, w in zip([None, *(kind[w] for w in t)], t)) / max(len(t), 1) for f in (target, background)), len(t))
+        for i, t in spans
+    )
+    found = lm_scoring.cross_entropy_difference(docs, docs.where(F.col("doc_id").isin(*trusted)), common).collect()
+    got = sorted((r.doc_id, r.target_loss, r.background_loss, r.n_tokens) for r in found)
+    assert np.allclose(np.array(got), np.array(want), atol=1e-5)
+    assert np.allclose([r.score for r in found], [r.target_loss - r.background_loss for r in found])
+
+
 def test_word_counts_and_losses(spark):
     rows = cases.texts()
     got = {r.word: r.n for r in lm_scoring.word_counts(cases.documents(spark, rows)).collect()}
