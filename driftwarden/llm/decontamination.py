@@ -81,7 +81,7 @@ def _bench(batch: pa.RecordBatch) -> dict:
     return out
 
 
-def _probe(values: np.ndarray, bits: int) -> list[np.ndarray]:
+def bloom_probes(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return [
         ((values >> np.uint64(20 * k)) & np.uint64((1 << bits) - 1)).astype(np.int64)
         if 20 * k + bits <= 64
@@ -90,19 +90,19 @@ def _probe(values: np.ndarray, bits: int) -> list[np.ndarray]:
     ]
 
 
-def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+def bloom_filter(seeds: DataFrame, bits: int) -> np.ndarray:
     """Bloom filter of the hashes: words of set bits, combined by Spark; its size is
     fixed by ``bits`` whatever the number of hashes."""
 
     def places(batch: pa.RecordBatch) -> dict:
         values = batch.column("hash").to_numpy().view(np.uint64)
-        at = np.unique(np.concatenate(_probe(values, bits)))
+        at = np.unique(np.concatenate(bloom_probes(values, bits)))
         return {"word": at >> 6, "mask": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)}
 
     words = np.zeros(1 << (bits - 6), np.int64)
     rows = map_batches(seeds.select("hash"), places, "word long, mask long")
-    for word, mask in rows.groupBy("word").agg(F.bit_or("mask")).collect():
-        words[word] = mask
+    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most all words
+    words[found["word"].to_numpy()] = found["mask"].to_numpy()
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
@@ -117,7 +117,7 @@ def _hits(maybe: np.ndarray, bits: int, spans: list[int], reach: int):
             values, places = [], []
             for row in rows:
                 at = np.arange(len(row))
-                for k in _probe(row, bits) if len(row) else []:
+                for k in bloom_probes(row, bits) if len(row) else []:
                     at = at[maybe[k[at]]]
                 values.append(row[at])
                 places.append(at)
@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, matches: int = MATCHES)
     total, longest = seeds.agg(F.count("*"), F.max("tokens")).first()
     short = [r[0] for r in seeds.where(f"tokens < {SPAN}").select("tokens").distinct().collect()]
     bits = int(np.clip(np.ceil(np.log2(max(total, 1) * 64)), 16, FILTER_BITS))
-    maybe = _filter(seeds, bits)
+    maybe = bloom_filter(seeds, bits)
     hits = store(
         map_batches(
             docs, _hits(maybe, bits, sorted(short), longest or 0),

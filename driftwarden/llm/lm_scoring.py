@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import hashing
 from .common import bounded_batches, map_batches, read, store
+from .decontamination import FILTER_BITS, bloom_filter, bloom_probes
 
 WORDS, CLASSES = 767, 256  # symbols are 0 (start), words, classes
 SYMBOLS = 1 + WORDS + CLASSES
@@ -114,31 +115,53 @@ def word_losses(everywhere: DataFrame, target: DataFrame, frequent: DataFrame) -
     )
 
 
-def pair_counts(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(pair, target, background) over ``rows`` (text, target boolean)."""
+def pair_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(pair, n) over all texts; one partial count for each pair of symbols and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
+        seen = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
-            for mark, words in zip(batch.column("target").to_pylist(), tokens(batch.column("text"))):
+            for words in tokens(batch.column("text")):
                 if len(words):
                     s = symbols(words, vocabulary)
-                    pairs = np.concatenate([[0], s[:-1]]) * SYMBOLS + s
-                    np.add.at(seen[1], pairs, 1)
-                    if mark:
-                        np.add.at(seen[0], pairs, 1)
-        found = np.flatnonzero(seen[1])
+                    np.add.at(seen, np.concatenate([[0], s[:-1]]) * SYMBOLS + s, 1)
+        found = np.flatnonzero(seen)
         for at in range(0, len(found), 1 << 16):
             piece = found[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(piece), pa.array(seen[0, piece]), pa.array(seen[1, piece])],
-                ["pair", "target", "background"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(seen[piece])], ["pair", "n"])
 
-    kinds = "pair long, target long, background long"
-    return rows.select("text", "target").mapInArrow(run, kinds).groupBy("pair").agg(
-        F.sum("target").alias("target"), F.sum("background").alias("background")
-    )
+    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def pair_matrix(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    counts = np.zeros(SYMBOLS * SYMBOLS)
+    for r in store(pair_counts(docs, vocabulary), "pair-counts").toLocalIterator():  # at most SYMBOLS squared
+        counts[r.pair] = r.n
+    return counts.reshape(SYMBOLS, SYMBOLS)
+
+
+def target_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(text) of the documents whose doc_id is in ``marks`` (doc_id, distinct).
+
+    Texts first meet a Bloom filter of the ids, whose size is bounded, so that hardly
+    any others travel to the exact join."""
+
+    def hashed(ids: pa.Array) -> np.ndarray:
+        return hashing.mix(ids.fill_null(0).to_numpy().view(np.uint64))
+
+    keys = map_batches(marks, lambda batch: {"hash": hashed(batch.column("doc_id")).view(np.int64)}, "hash long")
+    bits = int(np.clip(np.ceil(np.log2(max(marks.count(), 1) * 16)), 16, FILTER_BITS))
+    maybe = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom_filter(keys, bits), bitorder="little"))
+
+    def likely(batch: pa.RecordBatch) -> dict:
+        values = hashed(batch.column("doc_id"))
+        hit = np.ones(len(values), bool)
+        for at in bloom_probes(values, bits):
+            hit &= (maybe.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        found = batch.filter(pa.array(hit))
+        return {c: found.column(c) for c in ("doc_id", "text")}
+
+    return map_batches(docs, likely, "doc_id long, text string").join(marks, "doc_id").select("text")
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -189,14 +212,13 @@ def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, common: int =
     top = everywhere.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     vocabulary = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
     frequent = spark.createDataFrame([(r.word,) for r in top], "word long")
-    marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = docs.join(marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = np.zeros((2, SYMBOLS * SYMBOLS))
-    for r in store(pair_counts(rows, vocabulary), "pair-counts").toLocalIterator():  # at most SYMBOLS squared
-        counts[:, r.pair] = r.target, r.background
-    counts = counts.reshape(2, SYMBOLS, SYMBOLS)
+    marks = store(
+        trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "lm-marks"
+    )
+    good = store(target_texts(docs, marks), "lm-target")
+    counts = np.stack([pair_matrix(good, vocabulary), pair_matrix(docs, vocabulary)])
     if counts[0].any():
-        target = word_counts(docs.join(marks, "doc_id"))
+        target = word_counts(good)
     else:
         target, counts[0] = everywhere, counts[1]
     words = store(word_losses(everywhere, target, frequent), "lm-losses")
