@@ -1,30 +1,30 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first four to six letters. Labelled examples (a bounded
-sample of either class) decide which terms are told apart by the label; how many
-documents hold each of them is counted over all documents. The examples' unit vectors
-form an inverted index cut into blocks of examples, with the largest weight of every
-term in every block. A query adds up those maxima to bound each block's cosine, visits
-blocks from the best bound down, and stops when no bound can beat the k-th best cosine
-so far: the neighbours are exact. Their votes, weighted by distance and by how often
-each class was sampled, are shrunk towards the rate among documents without any term.
+Terms are words and their first four to six letters. Labelled examples are a bounded
+sample of either class. The vocabulary is every term of theirs, as of a vectoriser
+fitted on them, and how many documents hold each term is counted over all documents.
+Of the examples' unit vectors, the terms that most examples hold form a matrix and all
+others an inverted index. A query's cosines with all examples are the sum of both parts,
+so its neighbours are exact. Their votes, weighted by distance and by how often each
+class was sampled, are shrunk towards the rate of toxic documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing
-from .common import map_batches, store
+from .common import bounded_batches, map_batches, store
 from .quality_pu import held_out
 
 EXAMPLES = 3_000  # labelled texts of either class, at most about
-TERMS = 8_192
-LIFT = 3  # times as frequent a term is in one class as in the other
 NEIGHBOURS = 8
-BLOCK = 256
+DENSE = 512  # terms that the matrix holds; the index has all others
+QUERIES = 64  # that meet the matrix together
 THRESHOLD = 0.3
 _PREFIXES = (4, 5, 6)
 
@@ -39,19 +39,10 @@ def _all_terms(texts: pa.Array):
         yield cut, owner[longer]
 
 
-def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the terms of all texts with repeats, and for each text its range."""
-    pieces = list(_all_terms(texts))
-    owner = np.concatenate([o for _, o in pieces])
-    order = np.argsort(owner, kind="stable")
-    hashes = np.concatenate([h for h, _ in pieces])[order]
-    return hashes, np.searchsorted(owner[order], np.arange(len(texts) + 1))
-
-
 def known_terms(texts: pa.Array, vocabulary: np.ndarray):
     """For each text ``(term numbers, counts)``, of the sorted ``vocabulary`` only."""
-    low = np.uint64((1 << 20) - 1)
-    maybe = np.zeros(1 << 20, bool)
+    low = np.uint64((1 << 22) - 1)
+    maybe = np.zeros(1 << 22, bool)
     maybe[(vocabulary & low).astype(np.int64)] = True
     none = np.zeros(0, np.int64)
     for begin, end in hashing.chunks(texts):
@@ -71,107 +62,101 @@ def known_terms(texts: pa.Array, vocabulary: np.ndarray):
             yield pairs[at[i] : at[i + 1]] % n, counts[at[i] : at[i + 1]]
 
 
-def choose_terms(texts: pa.Array, toxic: np.ndarray, limit: int = TERMS) -> np.ndarray:
-    """The terms that differ most between the classes, by a smoothed z-score of rates. Words
-    that either class uses about as often only lengthen vectors and are left out."""
-    both = []
+def all_terms(texts: pa.Array) -> np.ndarray:
+    """The sorted hashes of all terms of ``texts``."""
+    found = [np.zeros(0, np.uint64)]
     for begin, end in hashing.chunks(texts):
-        hashes, at = text_terms(texts.slice(begin, end - begin))
-        both += [np.unique(hashes[at[i] : at[i + 1]]) for i in range(end - begin)]
-    terms, place = np.unique(np.concatenate([*both, np.zeros(0, np.uint64)]), return_inverse=True)
-    mark = np.repeat(toxic, [len(x) for x in both]).astype(bool)
-    hits = np.bincount(place[mark], minlength=len(terms))
-    miss = np.bincount(place[~mark], minlength=len(terms))
-    a, b = max(int(toxic.sum()), 1), max(int((~toxic.astype(bool)).sum()), 1)
-    rate = (hits + miss) / (a + b)
-    z = (hits / a - miss / b) / np.sqrt((rate * (1 - rate) + 1 / (a + b)) * (1 / a + 1 / b))
-    one, two = (hits + 0.5) / (a + 1), (miss + 0.5) / (b + 1)
-    lift = np.maximum(one, two) / np.minimum(one, two)
-    good = np.flatnonzero((np.abs(z) >= 5) & (hits + miss >= 4) & (lift >= LIFT))
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:limit]
-    return np.sort(terms[good])
+        found += [np.unique(hashes) for hashes, _ in _all_terms(texts.slice(begin, end - begin))]
+    return np.unique(np.concatenate(found))
 
 
 class Index:
-    """Unit vectors of labelled examples as postings, with maxima by block.
-
-    Examples are laid out by class and strongest term, so that a block's examples are
-    alike and its maxima close to what they bound.
-    """
+    """Unit vectors of labelled examples: a matrix for the ``DENSE`` terms that most of
+    them hold, postings for all other terms."""
 
     def __init__(self, ids, toxic, found, idf, weights, prior):
         self.idf, self.prior = idf, prior
         self.weights = weights  # of a clean and of a toxic example's vote
+        self.ids, self.toxic = np.array(ids, np.int64), np.array(toxic, np.int64)
         vectors = [self.vector(*x) for x in found]
-        main = [int(t[np.argmax(v)]) if len(t) else -1 for t, v in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (toxic[i], main[i], ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.toxic = np.array([toxic[i] for i in order], np.int64)
-        self.blocks = max(1, -(-len(ids) // BLOCK))
         empty = np.zeros(0, np.int64)
-        rows = np.concatenate([empty, *(np.full(len(vectors[i][0]), r) for r, i in enumerate(order))])
-        terms = np.concatenate([empty, *(vectors[i][0] for i in order)])
-        values = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
-        key = terms * self.blocks + rows // BLOCK
-        by_key = np.argsort(key, kind="stable")
-        self.rows, self.values = rows[by_key] % BLOCK, values[by_key]
-        self.at = np.searchsorted(key[by_key], np.arange(len(idf) * self.blocks + 1))
-        self.maxima = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.maxima, (terms, rows // BLOCK), values)
+        rows = np.concatenate([empty, *(np.full(len(t), i) for i, (t, _) in enumerate(vectors))]).astype(np.int32)
+        terms = np.concatenate([empty, *(t for t, _ in vectors)])
+        values = np.concatenate([np.zeros(0), *(v for _, v in vectors)])
+        common = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:DENSE]
+        self.column = np.full(len(idf), -1)
+        self.column[common] = np.arange(len(common))
+        inside = self.column[terms] >= 0
+        self.matrix = np.zeros((len(common), len(self.ids)))
+        self.matrix[self.column[terms[inside]], rows[inside]] = values[inside]
+        rows, terms, values = rows[~inside], terms[~inside], values[~inside]
+        order = np.argsort(terms, kind="stable")
+        self.rows, self.values = rows[order], values[order]
+        self.at = np.searchsorted(terms[order], np.arange(len(idf) + 1))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (1 + np.log(counts)) * self.idf[terms] if len(terms) else np.zeros(0)
         norm = np.sqrt((values * values).sum())
         return (terms, values / norm) if norm > 0 else (terms[:0], values[:0])
 
+    def cosines(self, queries: list) -> np.ndarray:
+        """Cosines of unit vectors ``(terms, values)`` (rows) with all examples (columns)."""
+        part = np.zeros((len(queries), len(self.matrix)))
+        for i, (terms, values) in enumerate(queries):
+            column = self.column[terms]
+            part[i, column[column >= 0]] = values[column >= 0]
+        total = part @ self.matrix
+        for i, (terms, values) in enumerate(queries):
+            begin = self.at[terms]
+            n = self.at[terms + 1] - begin
+            held = n > 0
+            begin, n, values = begin[held], n[held], values[held]
+            if len(n):
+                at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+                total[i] += np.bincount(self.rows[at], np.repeat(values, n) * self.values[at], len(self.ids))
+        return total
+
+    def best(self, cosines: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        """The ``k`` best (cosine, row), ties to the smaller id; cosines above 0."""
+        least = np.partition(cosines, -k)[-k] - 1e-11 if len(cosines) > k else 0.0
+        rows = np.flatnonzero((cosines > 0) & (cosines >= least))
+        order = np.lexsort((self.ids[rows], -np.round(cosines[rows], 12)))[:k]
+        return list(zip(cosines[rows[order]].tolist(), rows[order].tolist()))
+
     def nearest(self, terms, values, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The exact ``k`` best (cosine, row), ties to the smaller id; cosines above 0."""
-        best: list[tuple[float, int]] = []
-        if not len(terms):
-            return best
-        bounds = values @ self.maxima[terms]
-        starts = terms * self.blocks
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            least = best[k - 1][0] - 1e-12 if len(best) >= k else 0.0
-            if bounds[block] <= least:
-                break
-            total = np.zeros(BLOCK)
-            begin, end = self.at[starts + block].tolist(), self.at[starts + block + 1].tolist()
-            for a, b, q in zip(begin, end, values.tolist()):
-                if b > a:
-                    total[self.rows[a:b]] += q * self.values[a:b]
-            rows = np.flatnonzero(total > least)
-            if len(rows):
-                best += zip(total[rows].tolist(), (block * BLOCK + rows).tolist())
-                best = sorted(best, key=lambda x: (-round(x[0], 12), self.ids[x[1]]))[:k]
-        return best
+        return self.best(self.cosines([(terms, values)])[0], k)
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         """Weighted share of toxic neighbours, with the prior as one more far vote."""
         up, total = self.prior, 1.0
         for cosine, row in best:
-            w = self.weights[int(self.toxic[row])] * cosine**2 / (1.05 - min(cosine, 1.0))
+            w = self.weights[int(self.toxic[row])] * cosine / (1.05 - min(cosine, 1.0))
             up, total = up + w * self.toxic[row], total + w
         return up / total
 
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """Documents in all, and how many hold each term: partial counts for each batch,
-    then a sum by term."""
+    """Documents in all, and how many hold each term: partial counts for each task, then
+    a sum by term."""
     n = len(vocabulary)
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def count(batch: pa.RecordBatch) -> dict:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n + 1, np.int64)
-        for terms, _ in known_terms(batch.column("text"), vocabulary):
-            seen[terms] += 1
-            seen[n] += 1
+        for batch in batches:
+            for terms, _ in known_terms(batch.column("text"), known.value):
+                seen[terms] += 1
+                seen[n] += 1
         held = np.flatnonzero(seen)
-        return {"term": held, "n": seen[held]}
+        for at in range(0, len(held), 1 << 16):
+            piece = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(seen[piece])], ["term", "n"])
 
-    rows = map_batches(docs.select("text"), count, "term int, n long").groupBy("term").agg(F.sum("n"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = rows.toArrow()  # at most one row for each term of the examples
     seen = np.zeros(n + 1)
-    for term, amount in rows.collect():  # at most one row for each term
-        seen[term] = amount
+    seen[found["term"].to_numpy()] = found["n"].to_numpy()
     return int(seen[n]), seen[:n]
 
 
@@ -192,13 +177,12 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
     rows = store(drawn.dropDuplicates(["doc_id"]), "toxicity-examples").orderBy("doc_id").collect()
     texts = pa.array([r.text for r in rows], pa.large_string())
     toxic = np.array([int(r.toxic) for r in rows], np.int64)
-    vocabulary = choose_terms(texts, toxic)
+    vocabulary = all_terms(texts)
     total, frequency = _frequencies(docs, vocabulary)
     idf = np.log((1 + total) / (1 + frequency)) + 1
     votes = (share.get(1, 1) / max(share.get(0, 1), 1e-9), 1.0)  # a clean, a toxic example
     found = list(known_terms(texts, vocabulary))
-    bare = np.array([not len(t) for t, _ in found], bool)
-    up, down = votes[1] * toxic[bare].sum(), votes[0] * (1 - toxic[bare]).sum()
+    up, down = votes[1] * toxic.sum(), votes[0] * (1 - toxic).sum()
     prior = float((up + 0.5) / (up + down + 10)) if len(rows) else 0.0
     return vocabulary, Index([r.doc_id for r in rows], toxic, found, idf, votes, prior)
 
@@ -210,19 +194,24 @@ def toxicity_scores(
     predicted, neighbours (doc_ids of the nearest examples, nearest first), similarities.
 
     ``labels`` has doc_id and toxic; a document is toxic if any row of its says so.
-    Null texts count as empty; texts without any known term, the empty one included,
-    get the rate of toxic ones among examples without a term, and no neighbours.
+    Null texts count as empty; texts without any term of the examples, the empty one
+    included, get the rate of toxic documents, and no neighbours.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     vocabulary, index = build_index(docs, labels, examples)
 
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, index))
+
     def score(batch: pa.RecordBatch) -> dict:
+        vocabulary, index = model.value
         votes, ids, near = [], [], []
-        for terms, counts in known_terms(batch.column("text"), vocabulary):
-            best = index.nearest(*index.vector(terms, counts)) if len(terms) else []
-            votes.append(index.vote(best))
-            ids.append([int(index.ids[row]) for _, row in best])
-            near.append([cosine for cosine, _ in best])
+        found = [index.vector(*x) for x in known_terms(batch.column("text"), vocabulary)]
+        for at in range(0, len(found), QUERIES):
+            for cosines in index.cosines(found[at : at + QUERIES]):
+                best = index.best(cosines)
+                votes.append(index.vote(best))
+                ids.append([int(index.ids[row]) for _, row in best])
+                near.append([cosine for cosine, _ in best])
         return {"doc_id": batch.column("doc_id"), "score": votes, "neighbours": ids, "similarities": near}
 
     kinds = "doc_id long, score double, neighbours array<long>, similarities array<double>"

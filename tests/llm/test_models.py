@@ -51,6 +51,20 @@ def test_toxicity_scores(spark):
     assert len(rows) == 10_000
 
 
+def test_rare_terms_find_an_exact_copy(spark):
+    """Words that few examples hold, or both classes use alike, are part of the vectors."""
+    shared = [f"common{i}" for i in range(40)]
+    rows = {i: " ".join([*shared, f"own{i}", f"only{i}"]) for i in range(200)}
+    copies = {1000 + i: rows[i] for i in range(0, 200, 20)}
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in rows], "doc_id long, toxic int")
+    drawn = {i for i in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    found = {r.doc_id: r for r in toxicity_knn.toxicity_scores(cases.documents(spark, rows | copies), labels).collect()}
+    for i in (i for i in copies if i - 1000 in drawn):
+        assert found[i].neighbours[0] == i - 1000 and abs(found[i].similarities[0] - 1) < 1e-9
+    sizes = [len(r.neighbours) for r in found.values()]
+    assert min(sizes) == toxicity_knn.NEIGHBOURS
+
+
 def test_neighbours_are_exact():
     draw = np.random.default_rng(2)
     idf = draw.uniform(1, 3, 40)
