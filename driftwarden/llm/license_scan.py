@@ -7,6 +7,10 @@ threshold's share of a template's tokens must hold one of the template's first
 and positional filters drop candidates that cannot reach the threshold, and what is
 left is counted exactly. All of it is DataFrame expressions.
 
+Published notices are wrapped, so runs of words across line breaks are blocks as well:
+every run of as many words as a template has. Only texts whose words hold enough of a
+template's tokens at all are cut into such runs, and only at places of those tokens.
+
 Beside the join, whole texts are searched for the phrases of the base labels.
 """
 
@@ -35,6 +39,7 @@ TEMPLATES = (
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -68,6 +73,37 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.contains(apart, F.lit(wanted)), found).otherwise(F.array().cast("array<long>"))
 
 
+def _across_lines(lines: Column, known: Column, templates: Column) -> Column:
+    """Templates ``(label, n, needed, tokens)`` found in a run of ``n`` words of a text of
+    several lines: structs of label and largest share."""
+    words = F.split(F.array_join(lines, " "), " ")
+
+    def shared(t: Column, places: Column) -> Column:
+        # A run that reaches the threshold can begin at a token of the template, and holds
+        # at most ``n`` of them.
+        def of_run(w: Column, i: Column) -> Column:
+            near = F.filter(F.slice(places, i + 1, t["n"]), lambda x: x["place"] < w["place"] + t["n"])
+            return F.size(F.array_distinct(F.transform(near, lambda x: x["token"])))
+
+        return F.array_max(F.transform(places, of_run))
+
+    def found(t: Column) -> Column:
+        numbered = F.transform(words, lambda w, i: F.struct(i.alias("place"), w.alias("token")))
+        places = F.filter(numbered, lambda w: F.array_contains(t["tokens"], w["token"]))
+        # An array of one element, so that the places are worked out once.
+        return F.struct(
+            t["label"].alias("label"), t["needed"].alias("needed"), F.size(t["tokens"]).alias("size"),
+            F.transform(F.array(places), lambda p: shared(t, p))[0].alias("shared"),
+        )
+
+    likely = F.transform(F.array(F.array_intersect(words, known)), lambda own: F.filter(
+        templates, lambda t: F.size(F.array_intersect(own, t["tokens"])) >= t["needed"]
+    ))[0]
+    best = F.filter(F.transform(likely, found), lambda x: x["shared"] >= x["needed"])
+    shares = F.transform(best, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["size"]).alias("share")))
+    return F.when(F.size(lines) > 1, shares).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+
+
 def license_labels(
     docs: DataFrame, threshold: float = THRESHOLD, templates: tuple = TEMPLATES
 ) -> DataFrame:
@@ -75,7 +111,7 @@ def license_labels(
     first_word, last_word (the first and the last place, null without one), base_labels,
     labels (base ones and those of templates found), score (1 with a base phrase, else
     the largest share of a template's tokens in a block, if it reaches the threshold,
-    else 0). Null texts count as empty. Rows that share a doc_id share template labels.
+    else 0). A block is a line, or across lines a run of as many words as the template has. Null texts count as empty. Rows that share a doc_id share template labels.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
@@ -83,6 +119,15 @@ def license_labels(
     known = F.array(*[F.lit(t) for t in vocabulary])
     least = min(math.ceil(threshold * len(tokens) - 1e-9) for _, tokens in sets)
 
+    listed = F.array(*[
+        F.struct(
+            F.lit(label).alias("label"), F.lit(len(text.split())).alias("n"),
+            F.lit(math.ceil(threshold * len(tokens) - 1e-9)).alias("needed"),
+            F.array(*[F.lit(t) for t in tokens]).alias("tokens"),
+        )
+        for (label, text), (_, tokens) in zip(templates, sets)
+    ])
+
     lines = texts.select(
         "doc_id",
         F.filter(
@@ -109,6 +154,7 @@ def license_labels(
         lines.select(
             "doc_id", _count(words).cast("long").alias("n_words"), places.alias("places"),
             F.array_sort(F.array_distinct(labels)).alias("base"), blocks.alias("blocks"),
+            _across_lines(F.col("lines"), known, listed).alias("across"),
         ),
         "license-blocks",
     )
@@ -156,13 +202,16 @@ def license_labels(
         )
     )
     n = F.size("places").cast("long")
+    none = F.array().cast("array<string>")
+    across = F.transform("across", lambda x: x["label"])
+    share = F.coalesce(F.greatest("share", F.array_max(F.transform("across", lambda x: x["share"]))), F.lit(0.0))
     return scanned.join(hits, "doc_id", "left").select(
         "doc_id", "n_words", n.alias("n_base"),
         F.when(n > 0, F.array_min("places")).alias("first_word"),
         F.when(n > 0, F.array_max("places")).alias("last_word"),
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(
-            F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))), ","
+            F.array_sort(F.array_union(F.array_union("base", across), F.coalesce("found", none))), ","
         ).alias("labels"),
-        F.when(n > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.when(n > 0, F.lit(1.0)).otherwise(share).alias("score"),
     )

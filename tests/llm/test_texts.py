@@ -99,6 +99,23 @@ def test_template_join_finds_every_block_over_the_threshold(spark):
     assert got == want and len(set(want.values())) == 2
 
 
+def test_wrapped_notices_are_found(spark):
+    """Every template in lines of a few words behind comment marks, in the middle of other lines."""
+    docs, want = {}, {}
+    for i, (label, text) in enumerate(license_scan.TEMPLATES):
+        w = text.split()
+        for width in (3, 7, 10):
+            notice = "\n".join(" * " + " ".join(w[j : j + width]) for j in range(0, len(w), width))
+            docs[100 * i + width] = f"/* some file of ours\n{notice}\n */ int main"
+            want[100 * i + width] = label
+        docs[100 * i + 50] = "\n".join(x + " or so" * 9 for x in w)  # the same words far apart
+    docs[5000] = "a b\nThis work is licensed under the GNU General Public License, version 3.\nc"
+    want[5000] = "gpl"
+    rows = {r.doc_id: r for r in license_scan.license_labels(cases.documents(spark, docs)).collect()}
+    assert {i: rows[i].labels for i in want} == want and {rows[i].score for i in want} == {1.0}
+    assert {(r.labels, r.score) for i, r in rows.items() if i not in want} == {("", 0.0)}
+
+
 def test_tokens_equal_the_library(spark, rows):
     from tokenizers import Tokenizer
 
