@@ -5,7 +5,7 @@ non-negative unbiased risk: the positives' loss weighted with the class prior, p
 unlabelled loss as negatives less the part that the positives explain, never below
 zero. The prior is estimated first: no region of scores can hold a smaller share of
 unlabelled than prior times its share of positives, so the smallest such ratio over
-regions that are large enough bounds it.
+regions that are large enough bounds it. Shares are counted over all documents.
 
 Features are shape and repetition measures of the whole text. Their mean and spread
 come from all documents. Only the fit uses samples, of at most about ``SAMPLE``
@@ -143,16 +143,49 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
     return net
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The smallest ratio of unlabelled to positive shares above a score, over the
-    scores that at least a fifth of the positives exceed, with an allowance for chance."""
+def score_grid(positive: np.ndarray) -> np.ndarray:
+    """At most 100 scores that at least a fifth of the positives exceed, rising."""
     top = np.sort(positive)[::-1]
-    grid = top[np.unique(np.linspace(len(top) * 0.2, len(top) - 1, 100).astype(int))]
-    p = (positive >= grid[:, None]).mean(1)
-    u = (unlabelled >= grid[:, None]).mean(1)
-    chance = np.sqrt(1 / max(len(unlabelled), 1)) + np.sqrt(1 / max(len(positive), 1))
-    best = np.argmin((u + chance) / p)
-    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+    return np.unique(top[np.unique(np.linspace(len(top) * 0.2, len(top) - 1, 100).astype(int))])
+
+
+def smallest_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The smallest ratio of unlabelled to positive shares above a score, with an allowance
+    for chance. Either has the rows in all, then those at or above each score."""
+    p, u = positive[1:] / max(positive[0], 1), unlabelled[1:] / max(unlabelled[0], 1)
+    chance = np.sqrt(1 / max(unlabelled[0], 1)) + np.sqrt(1 / max(positive[0], 1))
+    best = np.argmin((u + chance) / np.maximum(p, 1e-12))
+    return float(np.clip(u[best] / max(p[best], 1e-12), 0.01, 0.99))
+
+
+def at_least(scores: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """How many scores there are, then how many are at or above each of the rising ``grid``."""
+    passed = np.bincount(np.searchsorted(grid, scores, "right"), minlength=len(grid) + 1)
+    return np.cumsum(passed[::-1])[::-1]
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    grid = score_grid(positive)
+    return smallest_ratio(at_least(positive, grid), at_least(unlabelled, grid))
+
+
+def _all_at_least(rows: DataFrame, grid: np.ndarray, score) -> np.ndarray:
+    """``at_least`` over the features of all ``rows``: a row of counts for each batch, then
+    one sum."""
+
+    def count(batch: pa.RecordBatch) -> dict:
+        found = at_least(score(_matrix(batch)), grid)
+        return {"place": np.arange(len(found)), "n": found}
+
+    counts = map_batches(rows.select("f"), count, "place int, n long").groupBy("place").agg(F.sum("n"))
+    total = np.zeros(len(grid) + 1)
+    for place, n in counts.collect():  # at most one row for each score of the grid
+        total[place] = n
+    return total
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack(batch.column("f").to_numpy(zero_copy_only=False)).astype(float)
 
 
 def _sample(rows: DataFrame, size: int) -> np.ndarray:
@@ -186,7 +219,8 @@ def quality_scores(
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
         .where("q = 1").select("doc_id")
     )
-    positive = _sample(features.join(good, "doc_id"), sample)
+    trusted = features.join(good, "doc_id")
+    positive = _sample(trusted, sample)
     unlabelled = _sample(features.select("doc_id", "f"), sample)
     shape = features.agg(*[g(F.col("f")[i]) for g in (F.avg, F.stddev_pop) for i in range(len(FEATURES))]).first()
     n = len(FEATURES)
@@ -197,11 +231,13 @@ def quality_scores(
         clean = lambda x: np.clip((x - mean) / spread, -8, 8)
         xp, xu = clean(positive), clean(unlabelled)
         apart = fit_nnpu(xp, xu, 0.5)
-        net = fit_nnpu(xp, xu, estimate_prior(apart.score(xp), apart.score(xu)))
+        first = lambda x: apart.score(clean(x))
+        grid = score_grid(first(positive))
+        prior = smallest_ratio(_all_at_least(trusted, grid, first), _all_at_least(features, grid, first))
+        net = fit_nnpu(xp, xu, prior)
 
         def score(batch: pa.RecordBatch) -> dict:
-            x = np.stack(batch.column("f").to_numpy(zero_copy_only=False)).astype(float)
-            return {"doc_id": batch.column("doc_id"), "score": net.score(clean(x))}
+            return {"doc_id": batch.column("doc_id"), "score": net.score(clean(_matrix(batch)))}
 
         scored = map_batches(features, score, "doc_id long, score double")
     return scored.selectExpr(

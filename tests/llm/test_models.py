@@ -34,6 +34,17 @@ def test_the_prior_is_found():
     assert abs(quality_pu.estimate_prior(positive, mixed) - 0.6) < 0.08
 
 
+def test_the_prior_counts_all_documents(spark, monkeypatch):
+    """However few rows the fit draws."""
+    seen, ratio = [], quality_pu.smallest_ratio
+    monkeypatch.setattr(quality_pu, "smallest_ratio", lambda p, u: seen.append((p[0], u[0])) or ratio(p, u))
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet")
+    labels = spark.read.parquet(f"{cases.SF}/labels.parquet")
+    assert quality_pu.quality_scores(docs, labels, sample=20).count() == docs.count()
+    good = {i for i, q in labelled("quality").items() if q == 1 and zlib.crc32(str(i).encode()) % 5}
+    assert seen == [(docs.where(F.col("doc_id").isin(*good)).count(), docs.count())]
+
+
 def test_nothing_to_learn_from(spark):
     docs = cases.documents(spark, {1: "a b", 2: None})
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
