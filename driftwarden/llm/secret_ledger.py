@@ -112,7 +112,10 @@ class Ledger:
 
     def scan(self, found: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan what is new in ``found`` (path, text, blob) and record it. Entries are
-        appended by one write, which commits whole or not at all."""
+        appended by one write, which commits whole or not at all. An entry names the
+        versions behind its spans, so ``rules`` may hold one version of each kind."""
+        if len({r.kind for r in rules}) < len(rules):
+            raise ValueError("two versions of one kind in a scan")
         text = _plain(F.col("text"))
         missing = [~F.array_contains("seen", r.key) for r in rules]
         new = self.unseen(found, rules).select(
@@ -126,14 +129,15 @@ class Ledger:
         new.write.mode("append").parquet(self.folder)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(blob, found): spans by start, then rule, for blobs that have any."""
-        current = F.array(*[F.lit(r.kind) for r in rules])
-        rows = self.entries().where("size(found) > 0").groupBy("blob").agg(
-            F.flatten(F.collect_list("found")).alias("found")
-        )
-        return rows.select(
-            "blob", F.array_sort(F.filter("found", lambda s: F.array_contains(current, s["kind"]))).alias("found")
+        """(blob, found): spans of the given rule versions by start, then rule, for blobs
+        that have any."""
+        current = F.array_compact(F.array(*[
+            F.when(F.array_contains("rules", r.key), F.lit(r.kind)) for r in rules
+        ]))
+        rows = self.entries().where("size(found) > 0").select(
+            "blob", F.filter("found", lambda s: F.array_contains(current, s["kind"])).alias("found")
         )
+        return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
 
 
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:

@@ -62,6 +62,25 @@ def test_ledger_scans_only_what_is_new(spark):
     assert kinds == {"assign", "letter"}
 
 
+def test_a_new_version_replaces_the_spans_of_the_old(spark):
+    ledger = secret_ledger.Ledger(spark)
+    texts = secret_ledger.versions(spark.createDataFrame([(1, "ab b"), (2, "b")], "doc_id long, text string"))
+    old = secret_ledger.Rule("letter", "[ab]", 1)
+    new = secret_ledger.Rule("letter", "a", 1, version=2)
+    blobs = {r.path: r.blob for r in texts.collect()}
+
+    def found(*rules):
+        got = {r.blob: [s.start for s in r.found] for r in ledger.findings(rules).collect()}
+        return [got.get(blobs[i], []) for i in (1, 2)]
+
+    ledger.scan(texts, (old,))
+    assert found(old) == [[0, 1, 3], [0]]
+    ledger.scan(texts, (new,))
+    assert found(new) == [[0], []] and found(old) == [[0, 1, 3], [0]]
+    with pytest.raises(ValueError):
+        ledger.scan(texts, (old, new))
+
+
 def test_secrets_are_masked(spark):
     docs = cases.documents(spark, {1: "x token=abcdef y", 2: None, 3: "ghp_" + "a" * 40 + " z", 4: "clean"})
     got = secret_ledger.redacted(docs)
