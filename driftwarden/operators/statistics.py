@@ -103,7 +103,8 @@ def quantiles(
                 continue
             k0, k1, share = ranks[c, p]
             low, high = found[c, k0], found[c, k1]
-            result[c][p] = low if share == 0 or low == high else low + (high - low) * share
+            # The weighted sum of the built-in aggregate: it takes infinities and wide ranges.
+            result[c][p] = low if share == 0 or low == high else (1 - share) * low + share * high
     return result
 
 

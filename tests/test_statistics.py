@@ -90,3 +90,21 @@ def test_scaler_uses_population_deviation(spark):
 def test_medians_fill_gaps(spark):
     df = column(spark, [1.0, None, 5.0, 3.0])
     assert sorted(r.x for r in stats.impute_medians(df, ["x"]).collect()) == [1.0, 3.0, 3.0, 5.0]
+
+
+@pytest.mark.parametrize("kind", ["low", "high", "ends", "wide", "only"])
+def test_both_roads_agree_on_infinities_and_wide_ranges(spark, kind):
+    inf, many = float("inf"), [float(i) for i in range(37)]
+    values = {
+        "low": [-inf] * 5 + many,
+        "high": many + [inf] * 5,
+        "ends": [-inf, *many, inf],
+        "wide": [-1.7e308, 1.7e308],
+        "only": [-inf, 4.0],
+    }[kind]
+    at = [0.0, 0.03, 0.1, 0.13, 0.5, 0.77, 0.95, 1.0]
+    df = column(spark, values)
+    whole = stats.quantiles(df, {"x": at})["x"]
+    narrowed = stats.quantiles(df, {"x": at}, values_per_task=1)["x"]
+    assert not any(np.isnan(v) for v in whole.values())
+    assert narrowed == pytest.approx(whole, rel=1e-12)
