@@ -7,19 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    bpe, decontamination, license_scan, lm_scoring, metric_join, minhash_dedup, quality_pu,
-    secret_ledger, toxicity_knn, warc,
+    bpe, decontamination, license_scan, lm_scoring, metric_join, minhash_dedup, periodic_runs,
+    piece_spans, quality_pu, secret_ledger, token_alignment, toxicity_knn, warc,
 )
 from .common import read
 from .sql import SQL
 
 TOKENIZER = "word_bpe_49k.json"
+BYTES = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_quality_pu(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +70,21 @@ def op10_metric_join(spark: SparkSession, folder: str) -> DataFrame:
     return metric_join.near_vectors(read(spark, folder, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return token_alignment.aligned_documents(docs, tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.repeated_runs(
+        periodic_runs.with_periodic_tails(read(spark, folder, "documents"))
+    )
+
+
+def op13_piece_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_spans.encode_pieces(read(spark, folder, "documents"), tokenizer_path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
