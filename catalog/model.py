@@ -8,9 +8,11 @@ from driftwarden.operators import evaluation, forest, logs, profiles, statistics
 from driftwarden.plans import flows
 from driftwarden.session import materialize, scratch_path
 from driftwarden.sources.events import combined_log, user_profiles
+from driftwarden.sources.versions import published
 
+from . import forest_sql as fs
 from . import sql as s
-from .inputs import PREDICTION_PARTS, PREDICTION_SELECT
+from .inputs import PREDICTION_PARTS, PREDICTION_SELECT, TRAINING
 from .registry import query, rounded
 from .stand_ins import decided_features, predictions
 
@@ -23,22 +25,62 @@ def _model(features):
     return forest.AnomalyModel.fit(features, fixed.LOG_FEATURES, trees=fixed.PROFILE_TREES)
 
 
-# --- the fitted forest: no SQL can express it ----------------------------------------
+# --- the fitted forest ---------------------------------------------------------------
 
+_TREES = fixed.PROFILE_TREES
+_OWN_MODEL = (*s.LOG_PARTS, *fs.model("features", s.ALL36, _TREES))
+_OWN_DECISIONS = (
+    *_OWN_MODEL,
+    'decisions AS (SELECT "user", score - bound AS decision FROM model_scores, cutoff)',
+)
+_SCORES = fs.recursive(
+    s.sql(_OWN_DECISIONS, f'SELECT "user", {s.r("decision", "iforest_raw_score")} FROM decisions')
+)
+_NODES = (
+    "SELECT CAST(tree_id AS INTEGER) AS tree_id, CAST(node_id AS INTEGER) AS node_id,"
+    f" CAST(feature AS INTEGER) AS feature, {s.r('threshold')},"
+    " CAST(CASE WHEN feature < 0 THEN -1 ELSE 2 * node_id END AS INTEGER) AS left_id,"
+    " CAST(CASE WHEN feature < 0 THEN -1 ELSE 2 * node_id + 1 END AS INTEGER) AS right_id,"
+    " CAST(size AS INTEGER) AS size, CAST(depth AS INTEGER) AS depth FROM nodes"
+)
 
-@query("mdl_1_fit_forest")
+
+@query(
+    "mdl_1_fit_forest",
+    sql=fs.recursive(
+        s.sql(
+            (*s.LOG_PARTS, fs.long("plain", "features", s.ALL36), *fs.grown("plain", _TREES)), _NODES
+        )
+    ),
+)
 def fit_forest(spark, folder):
     features = _log_features(spark, folder)
     return rounded(forest.node_table(features, fixed.LOG_FEATURES, features.count()))
 
 
-@query("mdl_2_decision_score")
+@query("mdl_2_decision_score", sql=_SCORES)
 def decision_score(spark, folder):
     features = _log_features(spark, folder)
     return rounded(_model(features).decide(features).select("user", "iforest_raw_score"))
 
 
-@query("mdl_3_prediction")
+@query("mdl_2_decision_by_joins", sql=_SCORES)
+def decision_by_joins(spark, folder):
+    features = _log_features(spark, folder)
+    model = _model(features)
+    scores = forest.score_by_joins(model.scaler.transform(features), model.forest)
+    return rounded(scores.selectExpr("`user`", f"score - {model.forest.offset!r}D as iforest_raw_score"))
+
+
+@query(
+    "mdl_3_prediction",
+    sql=fs.recursive(
+        s.sql(
+            _OWN_DECISIONS,
+            'SELECT "user", CASE WHEN decision < 0 THEN -1 ELSE 1 END AS iforest_prediction FROM decisions',
+        )
+    ),
+)
 def model_prediction(spark, folder):
     features = _log_features(spark, folder)
     decided = _model(features).decide(features)
@@ -48,7 +90,7 @@ def model_prediction(spark, folder):
     ).drop("iforest_raw_score")
 
 
-@query("src_4_load_model")
+@query("src_4_load_model", sql=_SCORES)
 def load_model(spark, folder):
     features = _log_features(spark, folder)
     path = scratch_path(spark, "model")
@@ -57,7 +99,57 @@ def load_model(spark, folder):
     return rounded(loaded.decide(features).select("user", "iforest_raw_score"))
 
 
-@query("log_risk_with_model")
+def _stored(spark, folder, table):
+    """A table of a model that was published twice: the newest version counts."""
+    features = _log_features(spark, folder)
+    path = scratch_path(spark, "model")
+    forest.AnomalyModel.fit(features, fixed.LOG_FEATURES[:2], trees=1).save(spark, path)
+    _model(features).save(spark, path)
+    return published(spark, path)[table]
+
+
+@query("snk_6_model_nodes", sql=fs.recursive(s.sql(_OWN_MODEL, _NODES)))
+def model_nodes(spark, folder):
+    return rounded(_stored(spark, folder, "nodes"))
+
+
+@query(
+    "snk_6_model_settings",
+    sql=fs.recursive(
+        s.sql(
+            _OWN_MODEL,
+            f"""SELECT CAST(least({fs.SAMPLE}, (SELECT count(*) FROM features)) AS INTEGER) AS sample,
+            {s.r('bound', '"offset"')}, '{" ".join(s.ALL36)}' AS columns FROM cutoff""",
+        )
+    ),
+)
+def model_settings(spark, folder):
+    settings = _stored(spark, folder, "settings")
+    return rounded(settings.selectExpr("sample", "offset", "concat_ws(' ', columns) as columns"))
+
+
+_LOG_TREES = fixed.LOG_TREES
+_LOG_MODEL = (
+    *s.LOG_PARTS, s.SIGNALS, s.PROFILE, TRAINING,
+    *fs.model("trained", s.ALL36, _LOG_TREES),
+    *fs.decided("decisions", "features", s.ALL36, "trained", _LOG_TREES),
+    """decided AS (
+  SELECT f.*, s.activity, s.risk_multiplier, d.decision
+  FROM features f LEFT JOIN signals s USING ("user") LEFT JOIN decisions d USING ("user")
+)""",
+    s.THREATS,
+)
+
+
+@query(
+    "log_risk_with_model",
+    sql=fs.recursive(
+        s.sql(
+            _LOG_MODEL,
+            f'SELECT "user", anomaly, {s.rs(("anomaly_score", "risk_score"))}, risk_level, reason FROM threats',
+        )
+    ),
+)
 def log_risk(spark, folder):
     log = combined_log(spark, folder)
     model = flows.train_log_model(user_profiles(spark, folder))
@@ -68,7 +160,69 @@ def log_risk(spark, folder):
     )
 
 
-@query("profile_risk_with_model")
+# Numeric columns of a profile with its features, in their order; a feature that replaces
+# an input of its name stands in that input's place.
+_PROFILE_INPUTS = (
+    "emails_sent_off_hours", "total_files_copied", "filetype_doc", "filetype_exe", "filetype_jpg",
+    "filetype_pdf", "filetype_txt", "filetype_zip", "after_hours_logons", "weekend_logons",
+    "logons_on_other_user_pcs", "logon_std_dev_hours", "late_hour_device_use", "total_malicious_urls",
+    "missing_disconnects", "never_used_device", "above_avg_daily_counter", "risk_score_1",
+    "risk_score_2", "risk_score_3", "risk_score_4", "risk_score_5", "emails_sent_per_day",
+    "active_days", "unique_recipients_count", "external_emails_ratio", "attachment_count_avg",
+    "bcc_usage_rate", "avg_files_copied_per_day", "after_hours_file_copy_ratio",
+    "avg_malicious_urls_per_day", "avg_distinct_domains_per_day", "avg_after_hours_browsing_per_day",
+    "distinct_pcs_used", "avg_daily_device_connections",
+)
+_PLAIN = [f for p in fixed.PILLARS.values() for f in p if f not in _PROFILE_INPUTS]
+_NESTED = ("exfil_chain_score",)  # made of composites, hence last
+_LATER = (*(c for c in fixed.COMPOSITES if c not in _NESTED), *fixed.CHAINS, *_NESTED)
+_ENGINEERED = (*(f for f in _PLAIN if f not in _LATER), *_LATER)
+_PROFILE_MODEL_COLUMNS = (*_PROFILE_INPUTS, *_ENGINEERED)
+_REPLACED = {f for p in fixed.PILLARS.values() for f in p}
+
+
+def _imputed(column: str) -> str:
+    if column == "after_hours_intensity":
+        return f"CAST(0 AS DOUBLE) AS {column}"  # not in these profiles
+    table = "s" if column in _REPLACED else "p"
+    middle = f"(SELECT quantile_cont({column}, 0.5) FROM {'scaled' if table == 's' else 'profile'})"
+    return f"coalesce({table}.{column}, {middle}) AS {column}"
+
+
+_PROFILE_MODEL = (
+    *s.SCALED_PARTS,
+    f"""imputed AS (SELECT "user", {', '.join(map(_imputed, _PROFILE_MODEL_COLUMNS))}
+  FROM scaled s JOIN profile p USING ("user"))""",
+    *fs.model("imputed", _PROFILE_MODEL_COLUMNS, _TREES),
+    'decisions AS (SELECT "user", score - bound AS iforest_score FROM model_scores, cutoff)',
+    """modelled AS (
+  SELECT s.* EXCLUDE (iforest_score), d.iforest_score FROM scaled s JOIN decisions d USING ("user")
+)""",
+    s.TIERS.replace("FROM scaled)", "FROM modelled)").replace("FROM scaled ", "FROM modelled "),
+    s.TOTAL, s.BASE,
+    f"""blended AS (
+  SELECT *, {s.minmax('(-iforest_score)', 'base')} * 100 AS anomaly_model_score FROM base
+)""",
+    """final AS (
+  SELECT *, least(100, greatest(0, 0.7 * base_risk_score + 0.3 * anomaly_model_score))
+    AS final_risk_score FROM blended
+)""",
+    s.BUCKETS, s.INDICATORS,
+)
+
+
+@query(
+    "profile_risk_with_model",
+    sql=fs.recursive(
+        s.sql(
+            _PROFILE_MODEL,
+            'SELECT "user", CASE WHEN iforest_score < 0 THEN -1 ELSE 1 END AS iforest_prediction,'
+            f" {s.r('iforest_score', 'iforest_raw_score')},"
+            f" {s.rs(('base_risk_score', 'anomaly_model_score', 'final_risk_score'))},"
+            " risk_tier, risk_indicators FROM explained",
+        )
+    ),
+)
 def profile_risk(spark, folder):
     profile = materialize(user_profiles(spark, folder).drop("anomaly_score", "iforest_score"))
     features = materialize(profiles.profile_features(profile))

@@ -2,12 +2,17 @@
 
 Liu, Ting and Zhou, "Isolation Forest", ICDM 2008. Spark draws one small sample
 per tree by hashing user ids, grows the trees in parallel, one group of at most
-256 rows each, and scores users in Arrow batches against the node table, whose
-size is bounded by trees x (2 x sample - 1) whatever the population.
+256 rows each, and scores users in Arrow batches, or by joins, against the node table,
+whose size is bounded by trees x (2 x sample - 1) whatever the population.
+
+Every random choice is a number made from the MD5 digest of what it is for (the user, the
+tree, the node, the seed), so that any engine can repeat it: a forest follows from its
+rows and its seed alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Sequence
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import col, either, number, round_half_even, with_expressions
 from ..session import materialize
+from ..sources.versions import publish, published
 from .statistics import Scaler, quantiles, summarize, unit_range
 
 NODE_SCHEMA = (
@@ -29,6 +35,10 @@ NODE_SCHEMA = (
     "left_id int, right_id int, size int, depth int"
 )
 _OVERDRAW = 1.3
+_DIGITS = 13  # hexadecimal; a double holds them exactly
+# Scores are rounded so far that the order of additions does not show: equal rows have
+# equal scores on either road, and whoever is at the offset stays there.
+_SCORE_DIGITS = 12
 
 # The two batch functions travel to the workers with the job, so executors need
 # numpy and pandas but not this package.
@@ -43,64 +53,69 @@ def mean_path(size: np.ndarray | int) -> np.ndarray:
     return np.where(n > 2, 2.0 * harmonic - 2.0 * (big - 1.0) / big, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(rows: np.ndarray, seed: Sequence[int]) -> list[tuple]:
-    """Random splits down to single rows, equal rows, or the depth limit."""
-    rng = np.random.default_rng(seed)
+def uniform(*parts: object) -> float:
+    """A number in (0, 1) from the digest of ``parts``."""
+    digest = hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    return (int(digest[:_DIGITS], 16) + 0.5) / 16.0**_DIGITS
+
+
+def uniform_sql(*parts: str) -> str:
+    """``uniform`` as an expression."""
+    digest = f"md5(concat_ws(':', {', '.join(parts)}))"
+    return f"((cast(conv(substr({digest}, 1, {_DIGITS}), 16, 10) as double) + 0.5D) / {16.0**_DIGITS!r}D)"
+
+
+def grow_tree(rows: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Random splits down to single rows, equal rows, or the depth limit. Node 1 is the
+    root, and node i has the children 2 i and 2 i + 1."""
     limit = math.ceil(math.log2(max(len(rows), 2)))
     nodes: list[tuple] = []
-    pending = [(0, rows, 0)]
-    next_id = 1
+    pending = [(1, rows, 0)]
     while pending:
-        node_id, part, depth = pending.pop()
+        node, part, depth = pending.pop()
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(high > low)
         if depth == limit or varying.size == 0:
-            nodes.append((node_id, -1, 0.0, -1, -1, len(part), depth))
+            nodes.append((node, -1, 0.0, -1, -1, len(part), depth))
             continue
-        feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        place = int(uniform(seed, tree, node, "feature") * varying.size)
+        feature = int(varying[min(place, varying.size - 1)])
+        threshold = float(low[feature] + uniform(seed, tree, node, "cut") * (high[feature] - low[feature]))
+        if not threshold < high[feature]:
+            threshold = float(low[feature])  # rounding put the cut on the highest value
         left = part[:, feature] <= threshold
-        if left.all():
-            # Rounding put the cut on the highest value.
-            threshold = float(low[feature])
-            left = part[:, feature] <= threshold
-        nodes.append((node_id, feature, threshold, next_id, next_id + 1, len(part), depth))
-        pending.append((next_id, part[left], depth + 1))
-        pending.append((next_id + 1, part[~left], depth + 1))
-        next_id += 2
+        nodes.append((node, feature, threshold, 2 * node, 2 * node + 1, len(part), depth))
+        pending.append((2 * node, part[left], depth + 1))
+        pending.append((2 * node + 1, part[~left], depth + 1))
     return nodes
 
 
 def draw_samples(
     df: DataFrame, columns: Sequence[str], rows: int, trees: int, sample: int, seed: int
 ) -> DataFrame:
-    """At most ``sample`` rows per tree, chosen by hash of the user id and the features.
+    """At most ``sample`` rows per tree, chosen by the digest of the user id, or of the
+    features for rows without one.
 
     Every row enters every tree with the same chance, independently, at any size of the
-    population; neither partitioning nor order matters. One hash per row gives the first
-    tree that takes it, by the law of waiting times; most rows of a large population
+    population; neither partitioning nor order matters. One number per row gives the
+    first tree that takes it, by the law of waiting times; most rows of a large population
     find none and are gone. Only the others are tried against the trees after that.
     """
     share = min(_OVERDRAW * sample / rows, 1.0)
     key = "cast(`user` as string)"
-    content = f"xxhash64({', '.join([key, *map(col, columns)])})"
-
-    def draw(*parts: str) -> str:
-        """Uniform in (0, 1) from a hash."""
-        return f"(pmod(xxhash64({', '.join(parts)}), {2**52}) + 0.5D) / {float(2**52)!r}D"
-
+    content = f"md5(coalesce({key}, cast(xxhash64({', '.join(map(col, columns))}) as string)))"
     if share < 1:
-        waiting = f"floor(ln({draw('row_hash', str(seed))}) / {number(math.log1p(-share))})"
+        first = f"floor(ln({uniform_sql('row_hash', str(seed))}) / {number(math.log1p(-share))})"
     else:
-        waiting = "0"
-    picked = f"{draw('row_hash', 'tree', str(seed))} < {number(share)}"
+        first = "0"
+    picked = f"{uniform_sql('row_hash', 'tree', str(seed))} < {number(share)}"
     taken = (
         df.selectExpr(
             f"{content} as row_hash",
             f"{key} as row_key",
             *[f"cast({col(c)} as double) as {col(c)}" for c in columns],
         )
-        .withColumn("first_tree", F.expr(waiting))
+        .withColumn("first_tree", F.expr(first))
         .where(F.col("first_tree") < trees)
         .withColumn(
             "tree_id",
@@ -112,7 +127,7 @@ def draw_samples(
         .drop("first_tree")
     )
     order = Window.partitionBy("tree_id").orderBy(
-        F.expr(f"xxhash64(row_hash, tree_id, {seed})"), "row_key", *map(col, columns)
+        F.expr(f"md5(concat_ws(':', row_hash, tree_id, {seed}, 'order'))"), "row_key", *map(col, columns)
     )
     return (
         taken.withColumn("draw", F.row_number().over(order))
@@ -164,19 +179,19 @@ class IsolationForest:
         """MDL-2: score relative to the offset; negative means anomalous."""
         return self.score() - F.lit(self.offset)
 
-    def save(self, spark: SparkSession, path: str) -> None:
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """SNK-6: nodes, features and settings as tables."""
-        spark.createDataFrame(self.nodes, NODE_SCHEMA).write.parquet(f"{path}/nodes")
-        spark.createDataFrame(
-            [(self.sample, float(self.offset), list(self.columns))],
-            "sample int, offset double, columns array<string>",
-        ).write.parquet(f"{path}/settings")
+        settings = [(self.sample, float(self.offset), list(self.columns))]
+        return {
+            "nodes": spark.createDataFrame(self.nodes, NODE_SCHEMA),
+            "settings": spark.createDataFrame(settings, "sample int, offset double, columns array<string>"),
+        }
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> IsolationForest:
+    def from_tables(cls, tables: dict[str, DataFrame]) -> IsolationForest:
         """SRC-4."""
-        settings = spark.read.parquet(f"{path}/settings").first()
-        nodes = spark.read.parquet(f"{path}/nodes").toPandas()  # size-bounded
+        settings = tables["settings"].first()
+        nodes = tables["nodes"].toPandas()  # size-bounded
         nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
         return cls(tuple(settings["columns"]), nodes, settings["sample"], settings["offset"])
 
@@ -194,7 +209,7 @@ def node_table(
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree_id"].iloc[0])
         data = pdf.sort_values(["row_key", *columns])[list(columns)].to_numpy(dtype=float)
-        nodes = grow_tree(data, [seed, tree])
+        nodes = grow_tree(data, seed, tree)
         out = pd.DataFrame(
             nodes,
             columns=["node_id", "feature", "threshold", "left_id", "right_id", "size", "depth"],
@@ -210,16 +225,18 @@ def _walker(nodes: pd.DataFrame, sample: int):
     """A batch function that sends rows down all trees."""
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
     # Node ids become positions in one array over all trees.
-    start = nodes.groupby("tree_id")["node_id"].transform("size").groupby(nodes["tree_id"]).first()
-    base = nodes["tree_id"].map(start.cumsum() - start).to_numpy()
+    tree = nodes["tree_id"].to_numpy().astype(np.int64) << 32
+    ids = tree | nodes["node_id"].to_numpy()
     leaf = nodes["feature"].to_numpy() < 0
     here = np.arange(len(nodes))
     feature = np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.int32)
     threshold = nodes["threshold"].to_numpy()
-    left = np.where(leaf, here, base + nodes["left_id"].to_numpy()).astype(np.int32)
-    right = np.where(leaf, here, base + nodes["right_id"].to_numpy()).astype(np.int32)
+    left, right = (
+        np.where(leaf, here, np.searchsorted(ids, tree | nodes[c].to_numpy())).astype(np.int32)
+        for c in ("left_id", "right_id")
+    )
     length = np.where(leaf, nodes["depth"] + mean_path(nodes["size"].to_numpy()), 0.0)
-    roots = (start.cumsum() - start).to_numpy().astype(np.int32)
+    roots = here[nodes["depth"].to_numpy() == 0].astype(np.int32)
     deepest = int(nodes["depth"].max())
     scale = float(mean_path(sample)) or 1.0
 
@@ -233,11 +250,39 @@ def _walker(nodes: pd.DataFrame, sample: int):
                 goes_left = data[row, feature[at]] <= threshold[at]
                 at = np.where(goes_left, left[at], right[at])
             total += length[at]
-        return pd.Series(-np.exp2(-total / len(roots) / scale))
+        return pd.Series(np.round(-np.exp2(-total / len(roots) / scale), _SCORE_DIGITS))
 
     return walk
 
 
+def score_by_joins(df: DataFrame, forest: IsolationForest) -> DataFrame:
+    """MDL-2 without Python: ``user`` and ``score`` of every user of ``df``, which has one
+    row each. A row for each user and tree goes down one join per level. The node table is
+    bounded, hence broadcast, so users stay where they are until the last sum."""
+    spark = df.sparkSession
+    internal = "feature >= 0"
+    nodes = spark.createDataFrame(forest.nodes, NODE_SCHEMA)
+    steps = F.broadcast(nodes.where(internal).selectExpr("tree_id", "node_id", "feature", "threshold"))
+    size = "cast(size as double)"
+    path = (
+        f"case when size > 2 then 2 * (ln({size} - 1) + {float(np.euler_gamma)!r}D) - 2 * ({size} - 1) / {size}"
+        " when size = 2 then 1D else 0D end"
+    )
+    ends = F.broadcast(nodes.where(f"not ({internal})").selectExpr("tree_id", "node_id", f"depth + {path} as length"))
+    roots = forest.nodes["tree_id"].unique().tolist()
+    values = ", ".join(f"cast({col(c)} as double)" for c in forest.columns)
+    at = df.selectExpr(
+        "`user`", f"array({values}) as x", f"explode(array({', '.join(map(str, roots))})) as tree_id"
+    ).withColumn("node_id", F.lit(1))
+    for _ in range(int(forest.nodes["depth"].max())):
+        down = "if(feature is null, node_id, 2 * node_id + if(x[feature] <= threshold, 0, 1)) as node_id"
+        at = at.join(steps, ["tree_id", "node_id"], "left").selectExpr("`user`", "x", "tree_id", down)
+    scale = float(mean_path(forest.sample)) or 1.0
+    return at.join(ends, ["tree_id", "node_id"]).groupBy("user").agg(
+        F.expr(f"round(-power(2D, -sum(length) / {len(roots)} / {scale!r}D), {_SCORE_DIGITS}) as score")
+    )
+
+
 # --- what is made of the decision score ---------------------------------------
 
 
@@ -305,13 +350,12 @@ class AnomalyModel:
         )
         return scaled.withColumn(output, forest.decision()).drop(*names.values())
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.scaler.table(spark).write.parquet(f"{path}/scaler")
-        self.forest.save(spark, path)
+    def save(self, spark: SparkSession, path: str) -> str:
+        """SNK-6: a new version of the model under ``path``; returns its folder."""
+        return publish(spark, path, {"scaler": self.scaler.table(spark), **self.forest.tables(spark)})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> AnomalyModel:
-        return cls(
-            Scaler.from_table(spark.read.parquet(f"{path}/scaler")),
-            IsolationForest.load(spark, path),
-        )
+        """SRC-4: the newest version that was published whole."""
+        tables = published(spark, path)
+        return cls(Scaler.from_table(tables["scaler"]), IsolationForest.from_tables(tables))

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from driftwarden.operators import forest
 from driftwarden.session import materialize, scratch_path
+from driftwarden.sources.versions import publish, published
 
 
 def frame(spark, data):
@@ -31,7 +33,7 @@ def brute_score(model, row):
     lengths = []
     for _, tree in model.nodes.groupby("tree_id"):
         nodes = {n.node_id: n for n in tree.itertuples()}
-        node = nodes[0]
+        node = nodes[1]
         while node.feature >= 0:
             node = nodes[node.left_id if row[node.feature] <= node.threshold else node.right_id]
         lengths.append(node.depth + float(forest.mean_path(node.size)))
@@ -45,6 +47,22 @@ def test_scores_equal_brute_force(fitted, data):
         assert got[f"u{i:05d}"] == pytest.approx(brute_score(model, data[i]), abs=1e-12)
 
 
+def test_joins_and_batches_score_alike(fitted):
+    df, model = fitted
+    batches = {r.user: r.s for r in df.select("user", model.score().alias("s")).collect()}
+    joins = {r.user: r.score for r in forest.score_by_joins(df, model).collect()}
+    assert joins == pytest.approx(batches, abs=2e-12)
+    plan = forest.score_by_joins(df, model)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Python" not in plan
+
+
+def test_a_choice_is_a_function_of_its_name(spark):
+    names = [(1, 2, 3, "cut"), (42, 0, 511, "feature"), ("ab", 7)]
+    for name in names:
+        parts = [f"'{p}'" if isinstance(p, str) else str(p) for p in name]
+        assert spark.sql(f"select {forest.uniform_sql(*parts)}").first()[0] == forest.uniform(*name)
+
+
 def test_outliers_come_first_and_share_is_near_contamination(fitted):
     df, model = fitted
     rows = df.select("user", model.decision().alias("d")).orderBy("d").collect()
@@ -88,6 +106,39 @@ def test_model_survives_storage(spark, fitted):
     assert before == after
 
 
+def test_a_broken_off_write_leaves_the_version_before(spark, fitted, monkeypatch):
+    df, _ = fitted
+    path = scratch_path(spark, "model")
+    with pytest.raises(ValueError):
+        published(spark, path)
+    first = forest.AnomalyModel.fit(df, ["f0", "f1"], trees=3)
+    first.save(spark, path)
+    second = forest.AnomalyModel.fit(df, ["f0", "f1", "f2"], trees=4)
+
+    def broken(self, *args, **kwargs):
+        if "nodes" in args[0]:
+            raise OSError("gone")
+        return write(self, *args, **kwargs)
+
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        second.save(spark, path)
+    monkeypatch.undo()
+    assert forest.AnomalyModel.load(spark, path).forest.columns == ("f0", "f1")
+    second.save(spark, path)
+    loaded = forest.AnomalyModel.load(spark, path)
+    assert loaded.forest.columns == ("f0", "f1", "f2") and loaded.forest.nodes.tree_id.nunique() == 4
+
+
+def test_a_version_that_lost_rows_is_refused(spark):
+    path = scratch_path(spark, "version")
+    folder = publish(spark, path, {"one": spark.range(3)})
+    spark.range(1).write.mode("append").parquet(f"{folder}/one")
+    with pytest.raises(ValueError):
+        published(spark, path)
+
+
 def test_identical_rows(spark):
     df = frame(spark, np.ones((20, 2)))
     model = forest.IsolationForest.fit(df, ["f0", "f1"], trees=5)
