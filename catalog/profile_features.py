@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from driftwarden import fixed
 from driftwarden.operators import profiles, statistics
 from driftwarden.plans import flows
-from driftwarden.session import materialize
+from driftwarden.session import materialize, scratch_path
+from driftwarden.sources import tables
 from driftwarden.sources.events import user_profiles
 
 from . import sql as s
@@ -74,9 +75,9 @@ def column_quantiles(spark, folder):
     ),
 )
 def narrowed_quantiles(spark, folder):
-    """The way taken by populations too large for one reducer, over every event."""
+    """Over every event."""
     events = spark.read.parquet(f"{folder}/events.parquet")
-    found = statistics.quantiles(events, {"value": _QUANTILES}, values_per_task=2_000)["value"]
+    found = statistics.quantiles(events, {"value": _QUANTILES})["value"]
     return rounded(spark.createDataFrame(list(found.items()), "p double, value double"))
 
 
@@ -365,3 +366,132 @@ def profile_risk(spark, folder):
             "user", "base_risk_score", "final_risk_score", "risk_tier", "risk_indicators"
         )
     )
+
+
+# --- NaN from Parquet counts as missing ---------------------------------------------------
+
+_HOLED = (
+    *s.PROFILE_PARTS,
+    """holed AS (SELECT "user", CASE WHEN CAST("user" AS BIGINT) % 5 <> 0 THEN weekend_logons END AS x,
+    CASE WHEN CAST("user" AS BIGINT) % 5 <> 0 THEN logon_std_dev_hours END AS y FROM profile)""",
+)
+
+
+def _holed(spark, folder):
+    """Two columns in which every fifth user has a stored NaN."""
+    gap = "if(cast(`user` as bigint) % 5 = 0, double('NaN'), {})"
+    table = user_profiles(spark, folder).selectExpr(
+        "`user`", f"{gap.format('weekend_logons')} as x", f"{gap.format('logon_std_dev_hours')} as y"
+    )
+    path = tables.write_table(table, scratch_path(spark, "holed") + ".parquet")
+    return tables.read_table(spark, path)
+
+
+def _each(expression: str) -> str:
+    """The expression for both columns, rounded like the Spark side."""
+    parts = ", ".join(s.r(expression.replace("{}", c), f"{c}_out") for c in ("x", "y"))
+    return s.sql(_HOLED, f'SELECT "user", {parts} FROM holed')
+
+
+def _outputs(df):
+    return rounded(df.selectExpr("`user`", "cast(x_out as double) as x_out", "cast(y_out as double) as y_out"))
+
+
+_NEW = {"x_out": "x", "y_out": "y"}
+_OF = "(SELECT {0}({{}}) FROM holed)"
+
+
+@query(
+    "agg_8_mean_and_std_with_nan",
+    sql=s.sql(
+        _HOLED,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CAST(count({c}) AS DOUBLE) AS n, round(avg({c}), 6) AS mean,"
+            f" round(stddev_samp({c}), 6) AS sd, round(min({c}), 6) + 0.0 AS lo, round(max({c}), 6) AS hi"
+            " FROM holed"
+            for c in ("x", "y")
+        ),
+    ),
+)
+def mean_and_std_with_nan(spark, folder):
+    return rounded(
+        statistics.summary_table(_holed(spark, folder), ("x", "y"), ("n", "mean", "sd", "lo", "hi"))
+    )
+
+
+@query(
+    "agg_9_quantiles_with_nan",
+    sql=s.sql(
+        _HOLED,
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS p,"
+            f" round(quantile_cont({c}, {p}), 6) + 0.0 AS value FROM holed"
+            for c in ("x", "y")
+            for p in _QUANTILES
+        ),
+    ),
+)
+def quantiles_with_nan(spark, folder):
+    return rounded(statistics.quantile_table(_holed(spark, folder), {c: _QUANTILES for c in ("x", "y")}))
+
+
+@query(
+    "nrm_1_zscores_with_nan",
+    sql=_each(f"({{}} - {_OF.format('avg')}) / ({_OF.format('stddev_samp')} + 1e-9)"),
+)
+def zscores_with_nan(spark, folder):
+    return _outputs(statistics.add_zscores(_holed(spark, folder), _NEW))
+
+
+@query(
+    "nrm_2_top_quantile_flags_with_nan",
+    sql=_each("CAST(coalesce({} > (SELECT quantile_cont({}, 0.8) FROM holed), false) AS INTEGER)"),
+)
+def quantile_flags_with_nan(spark, folder):
+    wanted = {o: (c, 0.8) for o, c in _NEW.items()}
+    return _outputs(statistics.add_quantile_flags(_holed(spark, folder), wanted))
+
+
+@query(
+    "nrm_3_two_sigma_spike_with_nan",
+    sql=_each(
+        f"CAST(coalesce({{}} > {_OF.format('avg')} + 2 * {_OF.format('stddev_samp')}, false) AS INTEGER)"
+    ),
+)
+def spikes_with_nan(spark, folder):
+    return _outputs(statistics.add_spikes(_holed(spark, folder), _NEW))
+
+
+@query("nrm_4_unit_range_with_nan", sql=_each(s.minmax("{}", "holed")))
+def unit_range_with_nan(spark, folder):
+    return _outputs(statistics.add_unit_range(_holed(spark, folder), _NEW))
+
+
+_AT = "(SELECT quantile_cont({{}}, {0}) FROM holed)"
+
+
+@query(
+    "nrm_5_robust_scale_with_nan",
+    sql=_each(
+        f"({{}} - {_AT.format(0.5)}) / coalesce(nullif({_AT.format(0.75)} - {_AT.format(0.25)}, 0), 1)"
+    ),
+)
+def robust_scale_with_nan(spark, folder):
+    scaled = statistics.robust_scale(_holed(spark, folder), ("x", "y"))
+    return _outputs(scaled.withColumnsRenamed({"x": "x_out", "y": "y_out"}))
+
+
+@query(
+    "nrm_6_standard_scale_with_nan",
+    sql=_each(f"({{}} - {_OF.format('avg')}) / coalesce(nullif({_OF.format('stddev_pop')}, 0), 1)"),
+)
+def standard_scale_with_nan(spark, folder):
+    holed = _holed(spark, folder)
+    scaled = statistics.Scaler.fit(holed, ("x", "y")).transform(holed)
+    return _outputs(scaled.withColumnsRenamed({"x": "x_out", "y": "y_out"}))
+
+
+@query("nrm_7_impute_medians_with_nan", sql=_each(f"coalesce({{}}, {_AT.format(0.5)})"))
+def impute_medians_with_nan(spark, folder):
+    filled = statistics.impute_medians(_holed(spark, folder), ("x", "y"))
+    return _outputs(filled.withColumnsRenamed({"x": "x_out", "y": "y_out"}))

@@ -33,6 +33,7 @@ from .statistics import (
     standard_score,
     summarize,
     unit_range,
+    without_nan,
 )
 
 INPUTS = (
@@ -122,7 +123,7 @@ class ProfileFeatures:
     def __init__(self, profile: DataFrame, pillars: Iterable[str] = fixed.PILLARS):
         present = profile.columns
         absent = {c: number(v) for c, v in OPTIONAL_INPUTS.items() if c not in present}
-        self.profile = with_expressions(profile, absent)
+        self.profile = without_nan(with_expressions(profile, absent), {*present, *absent})
         self._wanted = self._closure([f for p in pillars for f in fixed.PILLARS[p]])
         self._fit()
 
@@ -148,9 +149,7 @@ class ProfileFeatures:
             *[c if c == "bcc_usage_rate" else f"{_filled(c)} as {c}" for c in sorted(inputs)]
         )
         self._spread = summarize(population, zscores.values())
-        # Filled columns have no NULL, so their count is the number of rows.
-        self.rows = max((s["n"] for s in self._spread.values()), default=None)
-        cuts = quantiles(population, {c: [p] for c, p in flags.values()}, self.rows)
+        cuts = quantiles(population, {c: [p] for c, p in flags.values()})
         self._cuts = {o: cuts[c][p] for o, (c, p) in flags.items()}
 
     def column(self, name: str) -> str:

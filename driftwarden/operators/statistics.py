@@ -3,24 +3,27 @@
 Statistics are fitted in as few passes as possible, all columns at once, and
 come back as a handful of numbers that are used as literals. Nothing here uses
 a window without a partition key, which would move all rows into one task.
+
+NaN counts as missing: every operator reads the columns it works on, and gives them back,
+with NULL in its place (``without_nan``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import aggregate, as_flag, col, number, with_expressions
 
-# Values that the brackets of ``_order_statistics`` may hold together when they are
-# looked at one by one.
-VALUES_PER_TASK = 2_000_000
-_PARTS = 1_000
+# Cells of a factor of e in the first pass of ``quantiles``, and parts of a cell after it.
+_CELLS = 1_024
+_PARTS = 65_536
 
 _STATISTICS = {
     "n": "count({})",
@@ -32,15 +35,22 @@ _STATISTICS = {
 }
 
 
+def without_nan(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """``columns`` with NULL instead of NaN; only floating point columns change."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    floats = [c for c in dict.fromkeys(columns) if isinstance(kinds.get(c), (T.DoubleType, T.FloatType))]
+    return with_expressions(df, {c: f"nullif({col(c)}, cast('NaN' as {kinds[c].simpleString()}))" for c in floats})
+
+
 def summarize(
     df: DataFrame, columns: Iterable[str], wanted: Sequence[str] = ("n", "mean", "sd")
 ) -> dict[str, dict[str, float]]:
-    """Statistics of many columns in one aggregate; NULLs are skipped."""
+    """Statistics of many columns in one aggregate; NULL and NaN are skipped."""
     columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
     row = aggregate(
-        df, {f"{c}|{s}": _STATISTICS[s].format(col(c)) for c in columns for s in wanted}
+        without_nan(df, columns), {f"{c}|{s}": _STATISTICS[s].format(col(c)) for c in columns for s in wanted}
     ).first()
     return {c: {s: row[f"{c}|{s}"] for s in wanted} for c in columns}
 
@@ -54,7 +64,7 @@ def summary_table(
         parts = [f"'{s}', cast({_STATISTICS[s].format(col(c))} as double)" for s in wanted]
         return f"named_struct({', '.join(parts)})"
 
-    wide = aggregate(df, {c: stats(c) for c in columns})
+    wide = aggregate(without_nan(df, columns), {c: stats(c) for c in columns})
     return wide.unpivot([], list(columns), "column_name", "stats").select("column_name", "stats.*")
 
 
@@ -62,186 +72,131 @@ def summary_table(
 
 
 def quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, Sequence[float]],
-    values_per_task: int = VALUES_PER_TASK,
+    df: DataFrame, wanted: Mapping[str, Sequence[float]]
 ) -> dict[str, dict[float, float | None]]:
-    """Exact quantiles with linear interpolation; NULLs are skipped.
-
-    Values that fit one reducer are left to the built-in exact aggregate. Beyond that,
-    each rank starts in the bracket from the smallest to the largest value. While a
-    bracket holds more values than one task should, it is narrowed by approximate
-    quantiles and a count, or cut into parts. What is left is sorted, so no task ever
-    holds a whole column.
+    """Exact quantiles with linear interpolation; NULL and NaN are skipped.
+
+    Each pass counts the values of some cells, combined on the map side, and goes on with
+    the cell that holds a rank, until all values of that cell are equal. Cells of the first
+    pass have a width of a thousandth of their values, so that one pass is enough for
+    counts, whatever the number of rows, and two for most other columns; those after it cut
+    a cell into equal parts. No task holds a column, the driver gets a row for each rank,
+    and neither depends on the number of rows.
     """
     columns = list(wanted)
     if not columns:
         return {}
-    known = summarize(df, columns, ("n", "lo", "hi"))
-    if max(k["n"] for k in known.values()) * len(columns) <= values_per_task:
-        row = aggregate(
-            df, {c: f"percentile({col(c)}, {_array(wanted[c])})" for c in columns}
-        ).first()
-        return {
-            c: dict(zip(wanted[c], row[c] if row[c] is not None else [None] * len(wanted[c])))
-            for c in columns
-        }
-    ranks = {}
-    for c in columns:
-        for p in wanted[c]:
-            if known[c]["n"]:
-                position = (known[c]["n"] - 1) * p
-                below = min(int(position), known[c]["n"] - 1)
-                ranks[c, p] = (below, min(below + 1, known[c]["n"] - 1), position - below)
-    targets = {(c, k) for (c, _), (k0, k1, _) in ranks.items() for k in (k0, k1)}
-    found = _order_statistics(df, sorted(targets), known, values_per_task)
+    df = without_nan(df, columns)
+    totals, brackets = _first_pass(df, wanted)
+    while open_ones := [b for b in brackets if b.low != b.high]:
+        brackets = [b for b in brackets if b.low == b.high] + _cut(df, open_ones)
+    found = {(b.column, r): b.low for b in brackets for r in b.ranks}
     result: dict[str, dict[float, float | None]] = {c: {} for c in columns}
     for c in columns:
         for p in wanted[c]:
-            if (c, p) not in ranks:
+            if c not in totals:
                 result[c][p] = None
                 continue
-            k0, k1, share = ranks[c, p]
-            low, high = found[c, k0], found[c, k1]
+            below, above, share = _position(totals[c], p)
+            low, high = found[c, below], found[c, above]
             # The weighted sum of the built-in aggregate: it takes infinities and wide ranges.
             result[c][p] = low if share == 0 or low == high else (1 - share) * low + share * high
     return result
 
 
-def _array(values: Iterable[float]) -> str:
-    return f"array({', '.join(number(float(v)) for v in values)})"
+def _position(total: int, p: float) -> tuple[int, int, float]:
+    """Ranks on either side of a quantile, and its share of the way between them."""
+    position = (total - 1) * p
+    below = min(int(position), total - 1)
+    return below, min(below + 1, total - 1), position - below
 
 
 @dataclass
 class _Bracket:
-    """Values ``low..high`` of one column that hold the value of rank ``rank``."""
+    """Values ``low..high`` of one column that hold the values of ``ranks``."""
 
     column: str
-    rank: int
     low: float
     high: float
     below: int
-    inside: int
+    ranks: list[int] = field(default_factory=list)
 
-    @property
-    def found(self) -> bool:
-        return self.low == self.high or (self.low != self.low and self.high != self.high)
+    def value(self) -> str:
+        value = f"cast({col(self.column)} as double)"
+        return f"if({value} between {number(self.low)} and {number(self.high)}, {value}, null)"
 
     def part(self) -> str:
-        """Number of the part of equal width; the two ends are parts of their own."""
-        value, low, high = self.inside_value(), number(self.low), number(self.high)
+        """Number of the part of equal width; the two ends are parts of their own, so that
+        every cut makes the bracket smaller."""
+        value, low, high = self.value(), number(self.low), number(self.high)
         width = self.high / 2 - self.low / 2
         inner = "1"
         if math.isfinite(width) and width:
             share = f"({value} / 2 - {number(self.low / 2)}) / {number(width)}"
-            inner = f"1 + cast(least(greatest({share}, 0), 0.999999D) * {_PARTS} as int)"
+            inner = f"1 + cast(least(greatest({share}, 0), 0.999999D) * {_PARTS} as bigint)"
         return f"case when {value} = {low} then 0 when {value} = {high} then {_PARTS + 1} else {inner} end"
 
-    def inside_value(self) -> str:
-        value = f"cast({col(self.column)} as double)"
-        return f"if({value} between {number(self.low)} and {number(self.high)}, {value}, null)"
-
 
-def _order_statistics(
-    df: DataFrame,
-    targets: Sequence[tuple[str, int]],
-    known: Mapping[str, Mapping[str, float]],
-    values_per_task: int,
-) -> dict[tuple[str, int], float]:
-    brackets = [
-        _Bracket(c, k, float(known[c]["lo"]), float(known[c]["hi"]), 0, known[c]["n"])
-        for c, k in targets
-    ]
-    room = max(values_per_task // max(len(brackets), 1), 1)
-
-    def wide() -> list[_Bracket]:
-        return [b for b in brackets if not b.found and b.inside > room]
-
-    while wide():
-        stuck = _narrow(df, wide())
-        stuck = [b for b in stuck if not b.found and b.inside > room]
-        if stuck:
-            _cut(df, stuck)
-    answers = {(b.column, b.rank): b.low for b in brackets if b.found}
-    rest = [b for b in brackets if not b.found]
-    if rest:
-        answers |= _pick_inside(df, rest)
-    return answers
-
-
-def _narrow(
-    df: DataFrame, brackets: Sequence[_Bracket], accuracy: int = 10_000
-) -> list[_Bracket]:
-    """Tighten each bracket around its rank; two passes for all of them. Returns those
-    that stay as they are: a guess missed its rank, or repeated values fill it."""
-    margin = 3.0 / accuracy
-    guesses = {}
-    for i, b in enumerate(brackets):
-        middle = (b.rank - b.below + 0.5) / b.inside
-        around = _array([max(middle - margin, 0.0), min(middle + margin, 1.0)])
-        guesses[f"guess{i}"] = f"percentile_approx({b.inside_value()}, {around}, {accuracy})"
-    guess = aggregate(df, guesses).first()
-    checks = {}
-    for i, b in enumerate(brackets):
-        low, high = map(number, guess[f"guess{i}"])
-        checks[f"below{i}"] = f"count_if({col(b.column)} < {low})"
-        checks[f"inside{i}"] = f"count_if({col(b.column)} between {low} and {high})"
-    check = aggregate(df, checks).first()
-    stuck = []
-    for i, b in enumerate(brackets):
-        low, high = guess[f"guess{i}"]
-        below, inside = check[f"below{i}"], check[f"inside{i}"]
-        if below <= b.rank < below + inside and inside < b.inside:
-            b.low, b.high, b.below, b.inside = low, high, below, inside
-        else:
-            stuck.append(b)
-    return stuck
-
-
-def _entries(brackets: Sequence[_Bracket], extra: str = "") -> str:
-    rows = [
-        f"named_struct('bracket', {i}, 'value', {b.inside_value()}{extra and f', {extra!r}, {b.part()}'})"
-        for i, b in enumerate(brackets)
-    ]
-    return f"inline(array({', '.join(rows)}))"
-
-
-def _cut(df: DataFrame, brackets: Sequence[_Bracket]) -> None:
-    """Count parts of each bracket and go on with the one that holds its rank. Every cut
-    sets the two end values apart, so a bracket always shrinks."""
-    parts = (
-        df.selectExpr(_entries(brackets, "part"))
-        .where("value is not null")
-        .groupBy("bracket", "part")
+def _counted(df: DataFrame, entries: Sequence[tuple[str, str]]) -> DataFrame:
+    """Cells of (value, part) expressions, by number of the expression: with how many
+    values, the smallest and the largest, how many are below, and how many in total."""
+    rows = ", ".join(
+        f"named_struct('number', {i}, 'value', {value}, 'part', {part})"
+        for i, (value, part) in enumerate(entries)
+    )
+    cells = (
+        df.selectExpr(f"inline(filter(array({rows}), x -> x.value is not null))")
+        .groupBy("number", "part")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .orderBy("bracket", "part")
-        .collect()  # brackets x parts at most
     )
-    passed = [b.below for b in brackets]
-    done = set()
-    for r in parts:
-        b = brackets[r.bracket]
-        if r.bracket not in done and passed[r.bracket] + r.n > b.rank:
-            b.low, b.high, b.below, b.inside = r.low, r.high, passed[r.bracket], r.n
-            done.add(r.bracket)
-        passed[r.bracket] += r.n
-
-
-def _pick_inside(df: DataFrame, brackets: Sequence[_Bracket]) -> dict[tuple[str, int], float]:
-    """Walk up to the rank in each bracket; all brackets together are small."""
-    occurrences = (
-        df.selectExpr(_entries(brackets)).where("value is not null").groupBy("bracket", "value").count()
+    whole = Window.partitionBy("number")
+    upto = F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    return cells.withColumn("below", upto - F.col("n")).withColumn("total", F.sum("n").over(whole))
+
+
+def _first_pass(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> tuple[dict[str, int], list[_Bracket]]:
+    """Numbers of values by column, and brackets of all ranks."""
+    columns = list(wanted)
+
+    def entry(c: str) -> tuple[str, str]:
+        value = f"cast({col(c)} as double)"
+        return value, f"cast(signum({value}) * floor(log1p(abs({value})) * {_CELLS}) as bigint)"
+
+    shares = ", ".join(f"array({', '.join(number(float(p)) for p in wanted[c])})" for c in columns)
+    position = "least(cast(floor((total - 1) * p) as bigint), total - 1)"
+    rows = (
+        _counted(df, [entry(c) for c in columns])
+        .selectExpr("*", f"explode(element_at(array({shares}), number + 1)) as p")
+        .selectExpr("*", f"explode(array({position}, least({position} + 1, total - 1))) as rank")
+        .where("below <= rank and rank < below + n")
+        .select("number", "low", "high", "below", "total", "rank")
+        .distinct()
+        .collect()  # at most two rows for each quantile
     )
-    running = Window.partitionBy("bracket").orderBy("value")
-    steps = ", ".join(f"{b.rank - b.below}L" for b in brackets)
+    totals, brackets = {}, {}
+    for r in rows:
+        c = columns[r.number]
+        totals[c] = r.total
+        brackets.setdefault((c, r.below), _Bracket(c, r.low, r.high, r.below)).ranks.append(r.rank)
+    return totals, list(brackets.values())
+
+
+def _cut(df: DataFrame, brackets: Sequence[_Bracket]) -> list[_Bracket]:
+    """The parts of the brackets that hold their ranks."""
+    ranks = ", ".join(f"array({', '.join(f'{r - b.below}L' for r in b.ranks)})" for b in brackets)
     rows = (
-        occurrences.withColumn("upto", F.sum("count").over(running))
-        .withColumn("step", F.expr(f"element_at(array({steps}), bracket + 1)"))
-        .where("upto > step and upto - `count` <= step")
-        .select("bracket", "value")
-        .collect()  # one row per bracket
+        _counted(df, [(b.value(), b.part()) for b in brackets])
+        .selectExpr("*", f"explode(element_at(array({ranks}), number + 1)) as rank")
+        .where("below <= rank and rank < below + n")
+        .select("number", "low", "high", "below", "rank")
+        .collect()  # a row for each rank
     )
-    return {(brackets[r.bracket].column, brackets[r.bracket].rank): r.value for r in rows}
+    found: dict[tuple[int, int], _Bracket] = {}
+    for r in rows:
+        b = brackets[r.number]
+        part = found.setdefault((r.number, r.below), _Bracket(b.column, r.low, r.high, b.below + r.below))
+        part.ranks.append(b.below + r.rank)
+    return list(found.values())
 
 
 def quantile_table(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> DataFrame:
@@ -279,6 +234,7 @@ def unit_range(expression: str, low: float | None, high: float | None) -> str:
 
 def add_zscores(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
     """NRM-1, for ``{new column: source column}``."""
+    df = without_nan(df, outputs.values())
     stats = summarize(df, outputs.values())
     return with_expressions(df, {o: standard_score(col(c), stats[c]) for o, c in outputs.items()})
 
@@ -288,6 +244,7 @@ def add_quantile_flags(df: DataFrame, outputs: Mapping[str, tuple[str, float]])
     wanted: dict[str, list[float]] = {}
     for column, p in outputs.values():
         wanted.setdefault(column, []).append(p)
+    df = without_nan(df, wanted)
     cuts = quantiles(df, wanted)
     return with_expressions(df, {o: exceeds(col(c), cuts[c][p]) for o, (c, p) in outputs.items()})
 
@@ -300,6 +257,7 @@ def spike_cut(stats: Mapping[str, float], sigmas: float = fixed.SPIKE_SIGMAS) ->
 
 def add_spikes(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
     """NRM-3: over mean + 2 standard deviations of the users present."""
+    df = without_nan(df, outputs.values())
     stats = summarize(df, outputs.values())
     return with_expressions(
         df, {o: exceeds(col(c), spike_cut(stats[c])) for o, c in outputs.items()}
@@ -308,6 +266,7 @@ def add_spikes(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
 
 def add_unit_range(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
     """NRM-4."""
+    df = without_nan(df, outputs.values())
     stats = summarize(df, outputs.values(), ("lo", "hi"))
     return with_expressions(
         df, {o: unit_range(col(c), stats[c]["lo"], stats[c]["hi"]) for o, c in outputs.items()}
@@ -316,6 +275,7 @@ def add_unit_range(df: DataFrame, outputs: Mapping[str, str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: Sequence[str] = fixed.ROBUST_SCALED) -> DataFrame:
     """NRM-5: distance from the median in interquartile ranges, in place."""
+    df = without_nan(df, columns)
     fitted = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
 
     def scaled(c: str) -> str:
@@ -327,7 +287,8 @@ def robust_scale(df: DataFrame, columns: Sequence[str] = fixed.ROBUST_SCALED) ->
 
 
 def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """NRM-7: NULLs become the median of their column; whole columns are left alone."""
+    """NRM-7: gaps become the median of their column; whole columns are left alone."""
+    df = without_nan(df, columns)
     row = aggregate(
         df, {"|rows": "count(*)", **{c: f"count({col(c)})" for c in columns}}
     ).first()
@@ -357,7 +318,8 @@ class Scaler:
 
     def expressions(self) -> dict[str, str]:
         return {
-            c: f"((cast({col(c)} as double) - {number(self.mean[c])}) / {number(self.scale[c])})"
+            c: f"((nullif(cast({col(c)} as double), double('NaN')) - {number(self.mean[c])})"
+            f" / {number(self.scale[c])})"
             for c in self.columns
         }
 

@@ -13,7 +13,7 @@ def column(spark, values):
 
 
 @pytest.mark.parametrize("kind", ["spread", "heavy", "binary", "tiny", "wide"])
-def test_narrowed_quantiles_equal_brute_force(spark, kind):
+def test_quantiles_equal_brute_force(spark, kind):
     rng = np.random.default_rng(3)
     values = {
         "spread": rng.normal(size=20_000),
@@ -25,37 +25,66 @@ def test_narrowed_quantiles_equal_brute_force(spark, kind):
     }[kind]
     at = [0.0, 0.05, 0.25, 0.5, 0.7, 0.9, 1.0]
     df = column(spark, values.tolist() + [None]).repartition(5)
-    got = stats.quantiles(df, {"x": at}, values_per_task=200)["x"]
+    got = stats.quantiles(df, {"x": at})["x"]
     for p in at:
         assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-12)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60), st.floats(0, 1))
-def test_narrow_brackets_agree(spark, values, p):
-    df = column(spark, values)
-    small = stats.quantiles(df, {"x": [p]})["x"][p]
-    narrowed = stats.quantiles(df, {"x": [p]}, values_per_task=1)["x"][p]
-    assert small == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-6)
-    assert narrowed == pytest.approx(small, rel=1e-9, abs=1e-6)
+def test_drawn_quantiles_equal_brute_force(spark, values, p):
+    got = stats.quantiles(column(spark, values), {"x": [p]})["x"][p]
+    assert got == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-6)
+
+
+def test_jobs_do_not_grow_with_rows(spark, monkeypatch):
+    """One count of cells for whole numbers, two for most others, at any size."""
+    jobs = []
+    counted = stats._counted
+    monkeypatch.setattr(stats, "_counted", lambda *a: jobs.append(1) or counted(*a))
+    for rows in (50, 200_000):
+        df = spark.range(rows).selectExpr("cast(id % 900 as double) as whole", "id / 7 + sqrt(id) as x", "id as n")
+        jobs.clear()
+        stats.quantiles(df, {"whole": [0.1, 0.5]})
+        assert len(jobs) == 1
+        jobs.clear()
+        stats.quantiles(df, {"x": [0.25, 0.9], "n": [0.3]})
+        assert len(jobs) <= 3
 
 
 def test_quantiles_of_nothing(spark):
     df = column(spark, [None, None])
     assert stats.quantiles(df, {"x": [0.5]})["x"][0.5] is None
-    assert stats.quantiles(df, {"x": [0.5]}, values_per_task=0)["x"][0.5] is None
 
 
 def test_quantiles_with_values_that_are_not_finite(spark):
     df = column(spark, [1.0, 2.0, 3.0, float("inf"), float("nan")])
-    for room in (1, 1000):
-        got = stats.quantiles(df, {"x": [0.0, 0.25, 0.5, 0.75, 1.0]}, values_per_task=room)["x"]
-        assert list(got.values())[:4] == [1.0, 2.0, 3.0, float("inf")] and got[1.0] != got[1.0]
+    got = stats.quantiles(df, {"x": [0.0, 1 / 3, 2 / 3, 1.0]})["x"]
+    assert list(got.values()) == [1.0, 2.0, 3.0, float("inf")]
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    plain, holed = [1.0, 2.0, 3.0, 7.0, None], [1.0, 2.0, 3.0, 7.0, nan]
+    for operator in (
+        lambda df: stats.add_zscores(df, {"y": "x"}),
+        lambda df: stats.add_quantile_flags(df, {"y": ("x", 0.7)}),
+        lambda df: stats.add_spikes(df, {"y": "x"}),
+        lambda df: stats.add_unit_range(df, {"y": "x"}),
+        lambda df: stats.robust_scale(df, ["x"]),
+        lambda df: stats.impute_medians(df, ["x"]),
+        lambda df: stats.Scaler.fit(df, ["x"]).transform(df),
+        lambda df: stats.summary_table(df, ["x"], ("n", "mean", "sd", "lo", "hi")),
+    ):
+        want, got = ([tuple(r) for r in operator(column(spark, v)).collect()] for v in (plain, holed))
+        assert got == want
+    floats = column(spark, holed).selectExpr("cast(x as float) as x", "1 as n", "'a' as t")
+    assert [r.x for r in stats.without_nan(floats, ["x", "n", "t"]).collect()] == plain
 
 
 def test_two_values_that_fill_a_bracket(spark):
     df = spark.range(5000).selectExpr("cast(id % 2 as double) as x").union(column(spark, [0.4, 0.5]))
-    got = stats.quantiles(df, {"x": [0.5, 0.2, 0.9]}, values_per_task=3)["x"]
+    got = stats.quantiles(df, {"x": [0.5, 0.2, 0.9]})["x"]
     assert got == {0.5: 0.45, 0.2: 0.0, 0.9: 1.0}
 
 
@@ -93,7 +122,7 @@ def test_medians_fill_gaps(spark):
 
 
 @pytest.mark.parametrize("kind", ["low", "high", "ends", "wide", "only"])
-def test_both_roads_agree_on_infinities_and_wide_ranges(spark, kind):
+def test_infinities_and_wide_ranges_as_the_built_in_aggregate(spark, kind):
     inf, many = float("inf"), [float(i) for i in range(37)]
     values = {
         "low": [-inf] * 5 + many,
@@ -104,7 +133,7 @@ def test_both_roads_agree_on_infinities_and_wide_ranges(spark, kind):
     }[kind]
     at = [0.0, 0.03, 0.1, 0.13, 0.5, 0.77, 0.95, 1.0]
     df = column(spark, values)
-    whole = stats.quantiles(df, {"x": at})["x"]
-    narrowed = stats.quantiles(df, {"x": at}, values_per_task=1)["x"]
-    assert not any(np.isnan(v) for v in whole.values())
-    assert narrowed == pytest.approx(whole, rel=1e-12)
+    built_in = df.selectExpr(f"percentile(x, array({', '.join(map(str, at))})) as q").first().q
+    got = stats.quantiles(df, {"x": at})["x"]
+    assert not any(np.isnan(v) for v in got.values())
+    assert list(got.values()) == pytest.approx(built_in, rel=1e-12)
