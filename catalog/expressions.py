@@ -30,9 +30,9 @@ def _over_profiles(name: str, expression: str, sql_expression: str, output: str)
 
 _over_log(
     "exp_1_parse_timestamp",
-    f"cast({fn.parse_date('cast(date as string)')} as date) = to_date(date)",
-    'CAST(CAST("date" AS VARCHAR) AS TIMESTAMP)::DATE = CAST("date" AS DATE)',
-    "same_day",
+    f"unix_micros(cast({fn.parse_date('cast(date as string)')} as timestamp))",
+    'epoch_us("date")',
+    "micros",
 )
 _over_log("exp_2_hour", fn.event_hour("date"), "CAST(h AS INTEGER)", "event_hour")
 _over_log("exp_3_weekday", fn.event_weekday("date"), "CAST(wd AS INTEGER)", "event_weekday")

@@ -280,6 +280,38 @@ def validate_rows(spark, folder):
     return schema.row_problems(kinds)
 
 
+_BAD = """SELECT 'logon' AS kind, "user", 'not a date' AS "date" FROM log WHERE k = 8"""
+
+
+@query("sch_3_bad_dates_with_format", sql=s.sql([s.LOG], _BAD))
+def bad_dates(spark, folder):
+    """Dates in a format of their own, read from CSV without failing."""
+    form = "MM/dd/yyyy HH:mm:ss"
+    log = combined_log(spark, folder).selectExpr(
+        "`user`", f"if(k = 8, 'not a date', date_format(date, '{form}')) as date", "activity"
+    )
+    read = tables.read_log(spark, _round_trip(log, "dated"), "logon", strict=False, date_format=form)
+    return schema.bad_dates({"logon": read}, form)
+
+
+@query(
+    "sch_3_validate_rows_with_format",
+    sql=s.sql(
+        [s.LOG],
+        f"SELECT 'logon' AS kind, count(*) AS row_count, {s.n('k = 7')} AS null_users,"
+        f" {s.n('k = 8')} AS bad_dates FROM log",
+    ),
+)
+def validate_rows_with_format(spark, folder):
+    form = "MM/dd/yyyy HH:mm:ss"
+    log = combined_log(spark, folder).selectExpr(
+        "if(k = 7, null, `user`) as `user`",
+        f"if(k = 8, 'not a date', date_format(date, '{form}')) as date", "activity",
+    )
+    read = tables.read_log(spark, _round_trip(log, "dated"), "logon", strict=False, date_format=form)
+    return schema.row_problems({"logon": read}, form)
+
+
 _FEATURES_SELECT = f'SELECT "user", {s.features(s.ALL36)} FROM features'
 
 
@@ -288,6 +320,12 @@ def build_every_kind(spark, folder):
     return rounded(logs.log_features(combined_log(spark, folder)))
 
 
+@query("sch_2_route_combined", sql=s.sql(s.LOG_PARTS, _FEATURES_SELECT))
+def route_combined(spark, folder):
+    """A combined log, routed, gives the features of its four parts."""
+    return rounded(logs.log_features(schema.route([combined_log(spark, folder)])))
+
+
 @query("sch_5_ready_features", sql=s.sql(s.LOG_PARTS, _FEATURES_SELECT))
 def ready_features(spark, folder):
     ready = logs.log_features(kind_logs(spark, folder))
@@ -330,12 +368,26 @@ def align(spark, folder):
 
 @query(
     "sch_9_synthetic_user",
-    sql="SELECT count(*) AS row_count, count(DISTINCT event_id) AS distinct_users FROM events",
+    sql="SELECT count(*) AS row_count, count(DISTINCT event_id) AS distinct_users,"
+    " CAST(min(0) AS BIGINT) AS first_user, count(*) - 1 AS last_user, true AS same_when_moved FROM events",
 )
 def synthetic_user(spark, folder):
+    """The ids are 0..n-1, and stay with their rows when these are partitioned otherwise."""
     anonymous = combined_log(spark, folder).drop("user")
-    return schema.ensure_user(anonymous).agg(
-        F.count("*").alias("row_count"), F.count_distinct("user").alias("distinct_users")
+
+    def fingerprint(df):
+        rest = [c for c in df.columns if c != "user"]
+        digest = f"sum(cast(xxhash64(`user`, {', '.join(f'`{c}`' for c in rest)}) as decimal(38, 0)))"
+        return df.agg(
+            F.count("*").alias("row_count"), F.count_distinct("user").alias("distinct_users"),
+            F.expr("min(cast(`user` as bigint)) as first_user"),
+            F.expr("max(cast(`user` as bigint)) as last_user"), F.expr(f"{digest} as digest"),
+        )
+
+    one = fingerprint(schema.ensure_user(anonymous))
+    other = fingerprint(schema.ensure_user(anonymous.repartition(23))).select(F.col("digest").alias("moved"))
+    return one.crossJoin(F.broadcast(other)).selectExpr(
+        "row_count", "distinct_users", "first_user", "last_user", "digest = moved as same_when_moved"
     )
 
 
@@ -355,8 +407,8 @@ def keep_engineered(spark, folder):
     "sch_11_numeric_features",
     sql=s.sql(
         s.PROFILE_PARTS,
-        # Five sub-scores and two stand-ins besides the listed columns.
-        f"SELECT count(*) AS row_count, {len(s.PROFILE_COLUMNS) + 5 + 2} AS feature_count"
+        "SELECT count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE SELECT * FROM profile)"
+        " WHERE column_type IN ('DOUBLE', 'BIGINT', 'INTEGER') AND column_name <> 'label') AS feature_count"
         " FROM profile",
     ),
 )
@@ -364,7 +416,7 @@ def numeric_features(spark, folder):
     profile = user_profiles(spark, folder)
     names = schema.numeric_features(profile)
     return profile.select(*names).agg(F.count("*").alias("row_count")).withColumn(
-        "feature_count", F.lit(len(names))
+        "feature_count", F.lit(len(names)).cast("long")
     )
 
 

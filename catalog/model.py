@@ -373,6 +373,53 @@ def roc_auc(spark, folder):
     return rounded(evaluation.classification_metrics(_labelled(spark, folder)).select("roc_auc"))
 
 
+_OWN_FLAGS = (*_LOG_MODEL, """labelled AS (
+  SELECT t.anomaly, l.label FROM threats t
+  JOIN (SELECT "user", max(label) AS label FROM log GROUP BY "user") l USING ("user")
+)""", _CELLS.replace("FROM flagged", "FROM labelled"))
+
+
+def _evaluation(spark, folder, table):
+    """Of the model's own flags on the labelled log."""
+    log = combined_log(spark, folder)
+    model = flows.train_log_model(user_profiles(spark, folder))
+    return rounded(flows.evaluate_threats(log, flows.assess_log(log, model))[table])
+
+
+@query(
+    "evl_2_metrics_of_model",
+    sql=fs.recursive(
+        s.sql(
+            _OWN_FLAGS,
+            """SELECT round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy,
+            round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision,
+            round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall,
+            round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1_score,
+            round((tp / nullif(CAST(tp + fn AS DOUBLE), 0)
+              + tn / nullif(CAST(tn + fp AS DOUBLE), 0)) / 2, 6) AS roc_auc
+            FROM cells""",
+        )
+    ),
+)
+def metrics_of_model(spark, folder):
+    return _evaluation(spark, folder, "metrics")
+
+
+@query(
+    "evl_3_confusion_of_model",
+    sql=fs.recursive(
+        s.sql(
+            _OWN_FLAGS,
+            """SELECT 0 AS label, 0 AS predicted, tn AS n FROM cells UNION ALL
+            SELECT 0, 1, fp FROM cells UNION ALL SELECT 1, 0, fn FROM cells
+            UNION ALL SELECT 1, 1, tp FROM cells""",
+        )
+    ),
+)
+def confusion_of_model(spark, folder):
+    return _evaluation(spark, folder, "confusion")
+
+
 @query(
     "evl_labels_per_user",
     sql=s.sql([s.LOG], 'SELECT "user", max(label) AS label FROM log GROUP BY "user"'),

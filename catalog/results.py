@@ -230,7 +230,8 @@ def executive_summary(spark, folder):
 
 @query(
     "rpt_3_data_shape",
-    sql="SELECT count(*) AS row_count, CAST(6 AS BIGINT) AS column_count FROM events",
+    sql="SELECT count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE SELECT * FROM events)) AS column_count"
+    " FROM events",
 )
 def data_shape(spark, folder):
     return schema.shape(spark.read.parquet(f"{folder}/events.parquet"))

@@ -15,14 +15,21 @@ def totals_per_key(
 
     ``count(distinct)`` beside other aggregates would send every total along
     with every (key, value) pair, and with two of them copy each row per count.
-    Here the totals are combined per key before they are shuffled, and each
-    distinct count scans two columns and shuffles bare pairs, which also spreads
-    a hot key. All results are already partitioned by the key, so joining them
-    shuffles nothing more.
+    Here the totals are combined per key before they are shuffled. One more scan serves
+    all distinct counts: each row gives a tagged value for each of them, and bare (key,
+    tag, value) rows are shuffled, which also spreads a hot key. Both results are
+    partitioned by the key, so joining them shuffles nothing more.
     """
     result = rows.groupBy(key).agg(*[F.expr(f"{e} as {name}") for name, e in totals.items()])
-    for name, expression in distinct.items():
-        pairs = rows.selectExpr(f"`{key}`", f"{expression} as value").where("value is not null")
-        counted = pairs.distinct().groupBy(key).agg(F.count("*").alias(name))
-        result = result.join(counted, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return result
+    if not distinct:
+        return result
+    tagged = ", ".join(
+        f"named_struct('tag', {i}, 'value', cast({e} as string))" for i, e in enumerate(distinct.values())
+    )
+    pairs = (
+        rows.selectExpr(f"`{key}`", f"inline(array({tagged}))").where("value is not null").distinct()
+    )
+    counted = pairs.groupBy(key).agg(
+        *[F.expr(f"count_if(tag = {i}) as {name}") for i, name in enumerate(distinct)]
+    )
+    return result.join(counted, key, "left").fillna(0, subset=list(distinct))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import aggregate, col, number, parse_date, with_expressions
+from ..session import materialize
 
 
 def canonical_names(df: DataFrame, aliases: Mapping[str, str] = fixed.COLUMN_ALIASES) -> DataFrame:
@@ -49,30 +50,67 @@ def require_columns(df: DataFrame, kind: str) -> DataFrame:
     return df
 
 
+def filed_under(columns: Iterable[str]) -> list[str]:
+    """The kinds that a table feeds: a combined log every kind it has the columns of, any
+    other table the one it is detected as. The activity of a file log makes no logon log."""
+    columns = {c.strip().lower() for c in columns}
+    kind = detect_kind(columns)
+    matching = matching_kinds(columns)
+    return matching if kind != "features" and len({*matching} - {"logon"}) > 1 else [kind]
+
+
 def route(inputs: Iterable[DataFrame]) -> dict[str, DataFrame]:
-    """Canonicalise many inputs, detect their kinds, and union them per kind."""
+    """Canonicalise many inputs, and union them under the kinds they feed (``filed_under``).
+    A combined log comes under each of its kinds with the columns of that kind, activity,
+    and what else no kind asks for, such as labels."""
     by_kind: dict[str, list[DataFrame]] = defaultdict(list)
+    asked = {c for required in fixed.REQUIRED_COLUMNS.values() for c in required}
     for frame in inputs:
         named = canonical_names(frame)
-        kind = detect_kind(named.columns)
-        if kind != "unknown":
+        kinds = filed_under(named.columns)
+        for kind in kinds:
+            if kind == "unknown":
+                by_kind[kind].append(named)
+                continue
             require_columns(named, kind)
-        by_kind[kind].append(named)
+            own = {*fixed.REQUIRED_COLUMNS[kind], "activity"}
+            kept = [c for c in named.columns if len(kinds) == 1 or c in own or c not in asked]
+            by_kind[kind].append(named.select(*kept))
     return {
         kind: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
         for kind, frames in by_kind.items()
     }
 
 
-def row_problems(logs: Mapping[str, DataFrame]) -> DataFrame:
-    """Per kind: rows, rows without a user, rows whose date cannot be parsed."""
+def _is_bad_date(log: DataFrame, date_format: str | None) -> str:
+    """Dates that are text count as bad if they cannot be read; typed ones never do."""
+    if dict(log.dtypes)["date"] != "string":
+        return "false"
+    return f"(date is not null and {parse_date('date', False, date_format)} is null)"
+
+
+def bad_dates(logs: Mapping[str, DataFrame], date_format: str | None = None) -> DataFrame:
+    """The rows whose date cannot be read: kind, user and the date as it was written."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            require_columns(l, k)
+            .where(_is_bad_date(l, date_format))
+            .selectExpr(f"'{k}' as kind", "`user`", "cast(date as string) as date")
+            for k, l in logs.items()
+        ],
+    )
+
+
+def row_problems(logs: Mapping[str, DataFrame], date_format: str | None = None) -> DataFrame:
+    """Per kind: rows, rows without a user, rows whose date cannot be read, ISO or in the
+    given format."""
 
     def checks(kind: str, log: DataFrame) -> DataFrame:
-        date = "cast(date as string)"
         return log.selectExpr(
             f"'{kind}' as kind",
             "`user` is null as no_user",
-            f"({date} is not null and {parse_date(date, strict=False)} is null) as bad_date",
+            f"{_is_bad_date(log, date_format)} as bad_date",
         )
 
     rows = reduce(DataFrame.unionByName, [checks(k, require_columns(l, k)) for k, l in logs.items()])
@@ -122,10 +160,39 @@ def align_to(
 
 
 def ensure_user(df: DataFrame) -> DataFrame:
-    """Give rows without a ``user`` column unique ids (not dense)."""
+    """Give a table without a ``user`` column the ids 0..n-1, in the order of its contents:
+    the same rows get the same ids however they are partitioned, and it does not matter
+    which of equal rows has which. The table is stored, so that later passes agree.
+
+    Rows are sorted by two hashes of their contents and, so that equal rows spread, by
+    where they come from; ranges of that order are counted, and the counts of the ranges
+    before are added to the places in each.
+    """
     if "user" in df.columns:
         return df
-    return df.withColumn("user", F.monotonically_increasing_id())
+    content = ", ".join(map(col, df.columns))
+    order = ["_first", "_second", "_origin"]
+    ranged = (
+        df.selectExpr("*", f"xxhash64({content}) as _first", f"xxhash64(1, {content}) as _second")
+        .withColumn("_origin", F.monotonically_increasing_id())
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .drop(*order)
+    )
+    placed = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.expr("shiftright(_place, 33)").alias("part")
+    counts = {r.part: r["count"] for r in placed.groupBy(part).count().collect()}  # one row per partition
+    before, total = {}, 0
+    for number_ in sorted(counts):
+        before[number_] = total
+        total += counts[number_]
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "part long, _before long")
+    return (
+        placed.withColumn("part_", F.expr("shiftright(_place, 33)"))
+        .join(F.broadcast(offsets), F.col("part_") == F.col("part"))
+        .withColumn("user", F.expr(f"cast(_before + (_place & {(1 << 33) - 1}L) as string)"))
+        .drop("part_", "part", "_before", "_place")
+    )
 
 
 def keep_last(df: DataFrame, engineered: Mapping[str, str]) -> DataFrame:

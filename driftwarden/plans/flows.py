@@ -7,11 +7,13 @@ scanned once however many statistics passes follow.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from .. import fixed
 from ..functions import either, with_expressions
+from ..operators import evaluation
 from ..operators import logs as log_ops
 from ..operators import schema
 from ..operators.forest import AnomalyModel, prediction, rounded_suspicion, suspicion
@@ -40,9 +42,10 @@ def analyze_threats(
 ) -> DataFrame:
     """SCR-13: anomaly flag and score, rule score with floors, level and reason.
 
-    The decision score comes from the model, or from an existing column.
+    The decision score comes from the model, or from an existing column. Features without
+    a user get ids by their contents.
     """
-    df = schema.add_missing(features).fillna(0, subset=list(fixed.LOG_FEATURES))
+    df = schema.add_missing(schema.ensure_user(features)).fillna(0, subset=list(fixed.LOG_FEATURES))
     name = decision or "_decision"
     if model is not None:
         df = model.decide(df, name)
@@ -70,11 +73,32 @@ def assess_log(
     return analyze_threats(features, model)
 
 
+def evaluate_threats(
+    log: DataFrame | Mapping[str, DataFrame], threats: DataFrame
+) -> dict[str, DataFrame] | None:
+    """EVL-2..4 and AGG-17 for the flags of ``assess_log`` on the same labelled log: a user
+    is positive if one of the log's rows is. None if no log has labels."""
+    named = map(schema.canonical_names, [log] if isinstance(log, DataFrame) else log.values())
+    labelled = [l.select("user", "label") for l in named if "label" in l.columns]
+    if not labelled:
+        return None
+    labels = evaluation.labels_per_user(reduce(DataFrame.unionByName, labelled))
+    flags = threats.select("user", "anomaly")
+    joined = materialize(log_ops.join_left(flags, labels).where("label is not null"))
+    return {
+        "labels": evaluation.label_distribution(joined),
+        "metrics": evaluation.classification_metrics(joined),
+        "confusion": evaluation.confusion_matrix(joined),
+    }
+
+
 def assess_profiles(
     profile: DataFrame, model: AnomalyModel | None = None, blended: str = "iforest_raw_score"
 ) -> DataFrame:
-    """User profiles to risk tiers with indicators; blends the model if given."""
-    return assess_features(materialize(profile_features(materialize(profile))), model, blended)
+    """User profiles to risk tiers with indicators; blends the model if given. Profiles
+    without a user get ids by their contents."""
+    profile = materialize(schema.ensure_user(profile))
+    return assess_features(materialize(profile_features(profile)), model, blended)
 
 
 def assess_features(

@@ -141,12 +141,12 @@ def read_log(
 ) -> DataFrame:
     """SRC-2: an email, logon, file, device or combined log.
 
-    If not ``strict``, dates that do not fit stay as text for ``schema.row_problems`` to
-    count, and features read them under ``LogSettings(strict_dates=False)``; with a
-    ``date_format`` they are NULL.
+    If not ``strict``, dates stay as they are written. ``schema.row_problems`` counts and
+    ``schema.bad_dates`` shows those that do not fit the ``date_format``, and features read
+    the others under ``LogSettings(date_format=..., strict_dates=False)``.
     """
     kinds = log_schema(kind, extra)
-    if not strict and date_format is None:
+    if not strict:
         kinds = T.StructType([
             T.StructField(f.name, T.StringType() if f.name == "date" else f.dataType) for f in kinds
         ])
