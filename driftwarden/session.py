@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,6 @@ def build_session(app: str = "driftwarden", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Stored per-user tables go when nothing refers to them any more.
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -55,14 +55,41 @@ def shared_folder(spark: SparkSession) -> str | None:
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once; later passes read the stored rows.
 
-    Used for per-user frames that several statistics passes share, so that the
-    logs behind them are scanned once. Stored rows survive lost executors. On a
-    cluster that names no shared folder the frame is persisted instead and lost
-    blocks are recomputed from lineage.
+    Used for per-user frames that several statistics passes share, so that the logs behind
+    them are scanned once. They are Parquet in the shared folder: a pass reads the columns
+    it needs, and stored rows survive lost executors. They are deleted when the session's
+    process ends, or by ``release``. On a cluster that names no shared folder the frame is
+    persisted instead and lost blocks are recomputed from lineage.
     """
-    if shared_folder(df.sparkSession) is None:
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "rows")
+    _own(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_owned: list[tuple] = []  # Hadoop file systems and paths
+
+
+def _own(spark: SparkSession, path: str) -> None:
+    if not _owned:
+        atexit.unregister(release)
+        # After Spark's own handlers, hence before them at the end: the JVM still answers.
+        atexit.register(release)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _owned.append((place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place))
+
+
+def release() -> None:
+    """Delete the tables that ``materialize`` stored; frames that read them are void."""
+    while _owned:
+        files, place = _owned.pop()
+        try:
+            files.delete(place, True)
+        except (Py4JError, OSError):
+            pass  # the JVM is gone; the folder's owner clears what it left
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
