@@ -3,14 +3,24 @@
 Terms are words and their first four to six letters. Labelled examples are a bounded
 sample of either class. The vocabulary is every term of theirs, as of a vectoriser
 fitted on them, and how many documents hold each term is counted over all documents.
-Of the examples' unit vectors, the terms that most examples hold form a matrix and all
-others an inverted index. A query's cosines with all examples are the sum of both parts,
-so its neighbours are exact. Their votes, weighted by distance and by how often each
-class was sampled, are shrunk towards the rate of toxic documents.
+
+The examples' unit vectors form a block-max inverted index. Similar examples share a
+block, and the index keeps the largest weight of each term in each block. A term that few
+examples hold has a posting list that is shorter than the list of blocks would be; these
+lists are added up first, so their part of a block's bound is its largest true sum. For
+the frequent terms the block maxima bound what a block can add. Blocks are scored best
+bound first, in rounds, until no bound reaches the k-th best cosine so far; nothing else is
+left out, so the neighbours are exact.
+
+A document never votes for itself. Neighbours vote by distance and by how often their
+class was sampled, and a logistic curve, fitted on the examples' votes without their own,
+turns votes into probabilities. How many neighbours, and their weights, were chosen by
+these left-out votes as well, never by labels that are held out.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +32,12 @@ from .common import bounded_batches, map_batches, store
 from .quality_pu import held_out
 
 EXAMPLES = 3_000  # labelled texts of either class, at most about
-NEIGHBOURS = 8
-DENSE = 512  # terms that the matrix holds; the index has all others
-QUERIES = 64  # that meet the matrix together
+NEIGHBOURS = 32
+FREQUENT = 2_048  # terms that blocks hold; those of fewer examples have short lists
+BLOCK = 32  # examples
+FIRST = 8  # blocks of the first round
+ERROR = 1e-5  # of sums in single precision; what is this near is compared in double
+QUERIES = 64  # that meet the index together
 THRESHOLD = 0.3
 _PREFIXES = (4, 5, 6)
 
@@ -71,70 +84,161 @@ def all_terms(texts: pa.Array) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors of labelled examples: a matrix for the ``DENSE`` terms that most of
-    them hold, postings for all other terms."""
+    """Unit vectors of labelled examples in blocks, with the largest weight per term and
+    block. The example at ``place`` p is in block p // ``BLOCK``."""
 
     def __init__(self, ids, toxic, found, idf, weights, prior):
         self.idf, self.prior = idf, prior
         self.weights = weights  # of a clean and of a toxic example's vote
-        self.ids, self.toxic = np.array(ids, np.int64), np.array(toxic, np.int64)
         vectors = [self.vector(*x) for x in found]
+        frequency = np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]), minlength=len(idf))
+        self.frequent = np.sort(np.argsort(-frequency, kind="stable")[:FREQUENT])
+        order = similar_together(vectors, self.frequent, len(idf))
+        self.ids = np.array(ids, np.int64)[order]
+        self.toxic = np.array(toxic, np.int64)[order]
         empty = np.zeros(0, np.int64)
-        rows = np.concatenate([empty, *(np.full(len(t), i) for i, (t, _) in enumerate(vectors))]).astype(np.int32)
-        terms = np.concatenate([empty, *(t for t, _ in vectors)])
-        values = np.concatenate([np.zeros(0), *(v for _, v in vectors)])
-        common = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:DENSE]
-        self.column = np.full(len(idf), -1)
-        self.column[common] = np.arange(len(common))
-        inside = self.column[terms] >= 0
-        self.matrix = np.zeros((len(common), len(self.ids)))
-        self.matrix[self.column[terms[inside]], rows[inside]] = values[inside]
-        rows, terms, values = rows[~inside], terms[~inside], values[~inside]
-        order = np.argsort(terms, kind="stable")
-        self.rows, self.values = rows[order], values[order]
-        self.at = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.terms = np.concatenate([empty, *(vectors[i][0] for i in order)]).astype(np.int32)
+        self.values = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        self.at = np.cumsum([0, *(len(vectors[i][0]) for i in order)])
+        self.place = {i: p for p, i in enumerate(self.ids.tolist())}
+        self.blocks_scored = self.blocks_skipped = 0
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (1 + np.log(counts)) * self.idf[terms] if len(terms) else np.zeros(0)
         norm = np.sqrt((values * values).sum())
         return (terms, values / norm) if norm > 0 else (terms[:0], values[:0])
 
-    def cosines(self, queries: list) -> np.ndarray:
-        """Cosines of unit vectors ``(terms, values)`` (rows) with all examples (columns)."""
-        part = np.zeros((len(queries), len(self.matrix)))
-        for i, (terms, values) in enumerate(queries):
-            column = self.column[terms]
-            part[i, column[column >= 0]] = values[column >= 0]
-        total = part @ self.matrix
+    @functools.cached_property
+    def _lists(self):
+        """Made by each worker: the column of each term, the frequent terms' weights by
+        block, their maxima, and the other terms' posting lists."""
+        column = np.full(len(self.idf), -1)
+        column[self.frequent] = np.arange(len(self.frequent))
+        blocks = -(-len(self.ids) // BLOCK)
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.at))
+        inside = column[self.terms] >= 0
+        dense = np.zeros((blocks * BLOCK, len(self.frequent)), np.float32)
+        dense[owner[inside], column[self.terms[inside]]] = self.values[inside]
+        dense = dense.reshape(blocks, BLOCK, len(self.frequent))
+        terms, owner, values = self.terms[~inside], owner[~inside], self.values[~inside]
+        order = np.argsort(terms, kind="stable")
+        begins = np.searchsorted(terms[order], np.arange(len(self.idf) + 1))
+        return column, dense, dense.max(axis=1), begins, owner[order], values[order]
+
+    def nearest(self, queries: list, own: list | None = None, k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """For each unit vector ``(terms, values)`` the ``k`` best (cosine, place) above 0,
+        ties to the smaller id, without the example that has the id in ``own``."""
+        if not len(self.ids) or not queries:
+            return [[] for _ in queries]
+        column, dense, most, begins, owner, weights = self._lists
+        blocks, rows = len(dense), np.arange(len(queries))
+        q = np.zeros((len(queries), len(self.frequent)), np.float32)
+        sums = np.zeros((len(queries), blocks * BLOCK), np.float32)
         for i, (terms, values) in enumerate(queries):
-            begin = self.at[terms]
-            n = self.at[terms + 1] - begin
-            held = n > 0
-            begin, n, values = begin[held], n[held], values[held]
-            if len(n):
-                at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
-                total[i] += np.bincount(self.rows[at], np.repeat(values, n) * self.values[at], len(self.ids))
-        return total
-
-    def best(self, cosines: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The ``k`` best (cosine, row), ties to the smaller id; cosines above 0."""
-        least = np.partition(cosines, -k)[-k] - 1e-11 if len(cosines) > k else 0.0
-        rows = np.flatnonzero((cosines > 0) & (cosines >= least))
-        order = np.lexsort((self.ids[rows], -np.round(cosines[rows], 12)))[:k]
-        return list(zip(cosines[rows[order]].tolist(), rows[order].tolist()))
-
-    def nearest(self, terms, values, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        return self.best(self.cosines([(terms, values)])[0], k)
+            at = column[terms]
+            q[i, at[at >= 0]] = values[at >= 0]
+            rare = at < 0
+            begin = begins[terms[rare]]
+            n = begins[terms[rare] + 1] - begin
+            if n.any():
+                list_at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+                sums[i] = np.bincount(
+                    owner[list_at], np.repeat(values[rare], n) * weights[list_at], blocks * BLOCK
+                )
+            place = self.place.get(own[i]) if own else None
+            if place is not None:
+                sums[i, place] = -4
+        sums = sums.reshape(len(queries), blocks, BLOCK)
+        sums[:, -1, len(self.ids) - blocks * BLOCK + BLOCK :] = -4
+        bounds = q @ most.T + sums.max(axis=2)
+        order = np.argsort(-bounds, axis=1)
+        scores = np.full(sums.shape, -4, np.float32)
+        least = np.zeros(len(queries), np.float32)  # cosines of 0 are no neighbours
+        done, step = 0, FIRST
+        while done < blocks:
+            next_ = order[:, done : done + step]
+            wanted = np.zeros((len(queries), blocks), bool)
+            reach = bounds[rows[:, None], next_]
+            wanted[rows[:, None], next_] = (reach > 0) & (reach >= least[:, None] - 2 * ERROR)
+            if not wanted.any():
+                break  # bounds fall, and the k-th best only rises
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some = np.flatnonzero(wanted[:, b])
+                scores[some, b] = sums[some, b] + q[some] @ dense[b].T
+            self.blocks_scored += int(wanted.sum())
+            flat = scores.reshape(len(queries), -1)
+            if flat.shape[1] >= k:
+                least = np.maximum(least, np.partition(flat, -k, axis=1)[:, -k])
+            done, step = done + step, step * 2
+        self.blocks_skipped = self.blocks_skipped + len(queries) * blocks - int((scores[:, :, 0] > -4).sum())
+        return [
+            self._exact(x, np.flatnonzero((s > 0) & (s >= t - 2 * ERROR)), k)
+            for x, s, t in zip(queries, scores.reshape(len(queries), -1), least)
+        ]
+
+    def _exact(self, query: tuple, places: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The best of a few examples, in double precision."""
+        terms, values = query
+        n = self.at[places + 1] - self.at[places]
+        at = np.arange(n.sum()) + np.repeat(self.at[places] - (np.cumsum(n) - n), n)
+        near = np.minimum(np.searchsorted(terms, self.terms[at]), max(len(terms) - 1, 0))
+        hit = terms[near] == self.terms[at] if len(terms) else np.zeros(len(at), bool)
+        products = np.where(hit, values[near] * self.values[at], 0.0) if len(terms) else np.zeros(len(at))
+        cosines = np.bincount(np.repeat(np.arange(len(places)), n), products, len(places))
+        order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
+        return [(float(cosines[i]), int(places[i])) for i in order if cosines[i] > 0]
 
     def vote(self, best: list[tuple[float, int]]) -> float:
-        """Weighted share of toxic neighbours, with the prior as one more far vote."""
-        up, total = self.prior, 1.0
-        for cosine, row in best:
-            w = self.weights[int(self.toxic[row])] * cosine / (1.05 - min(cosine, 1.0))
-            up, total = up + w * self.toxic[row], total + w
+        """Weighted share of toxic neighbours; without any, the rate of toxic documents."""
+        up, total = 1e-3 * self.prior, 1e-3
+        for cosine, place in best:
+            w = self.weights[int(self.toxic[place])] * cosine / (1.05 - min(cosine, 1.0))
+            up, total = up + w * self.toxic[place], total + w
         return up / total
 
 
+def _log_odds(share):
+    return np.log((share + 1e-3) / (1 - share + 1e-3))
+
+
+def fitted_curve(votes: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the likeliest logistic curve, by Newton's method with a slight
+    pull towards the votes themselves; a falling curve is not taken."""
+    if not 0 < toxic.sum() < len(toxic):
+        return 1.0, 0.0
+    x = np.stack([_log_odds(votes), np.ones(len(votes))], axis=1)
+    weights = weights / weights.mean()
+    at = start = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ at)))
+        slope = x.T @ (weights * (p - toxic)) + (at - start)
+        curvature = (x * (weights * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        at = at - np.linalg.solve(curvature, slope)
+    return (float(at[0]), float(at[1])) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0)
+
+
+def similar_together(vectors: list, frequent: np.ndarray, size: int, rounds: int = 4) -> np.ndarray:
+    """An order of the examples in which those with similar frequent terms are neighbours:
+    by the nearest of some centres, these by their own likeness."""
+    n = len(vectors)
+    if n <= BLOCK or not len(frequent):
+        return np.arange(n)
+    column = np.full(size, -1)
+    column[frequent] = np.arange(len(frequent))
+    x = np.zeros((n, len(frequent)), np.float32)
+    for i, (terms, values) in enumerate(vectors):
+        at = column[terms]
+        x[i, at[at >= 0]] = values[at >= 0]
+    centres = x[:: max(1, BLOCK // 4)].copy()
+    for _ in range(rounds):
+        nearest = np.argmax(x @ centres.T, axis=1)
+        for c in np.unique(nearest):
+            total = x[nearest == c].sum(axis=0)
+            centres[c] = total / max(float(np.sqrt((total * total).sum())), 1e-9)
+    along = np.linalg.svd(centres, full_matrices=False)[0][:, 1]
+    return np.lexsort((np.arange(n), nearest, along[nearest]))
+
+
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     """Documents in all, and how many hold each term: partial counts for each task, then
     a sum by term."""
@@ -161,7 +265,8 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarr
 
 
 def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
-    """``(vocabulary, index)`` from the labelled rows that are not held out."""
+    """Broadcast ``(vocabulary, index)`` of the labelled rows that are not held out, and the
+    curve of their votes."""
     marked = store(
         labels.where("toxic is not null and doc_id is not null and not " + held_out(4, 2))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")),
@@ -172,9 +277,12 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
     pick = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) < F.when(
         F.col("toxic") == 1, int(share.get(1, 0) * 1_000_003) + 1
     ).otherwise(int(share.get(0, 0) * 1_000_003) + 1)
-    # The sample is bounded, so its ids may be broadcast.
+    # The sample is bounded, so its ids may be broadcast. Of several texts under one id the
+    # one with the smallest digest is the example.
     drawn = docs.join(F.broadcast(marked.where(pick)), "doc_id").select("doc_id", "toxic", "text")
-    rows = store(drawn.dropDuplicates(["doc_id"]), "toxicity-examples").orderBy("doc_id").collect()
+    chosen = drawn.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5("text")).alias("text"))
+    drawn = store(chosen, "toxicity-examples")
+    rows = drawn.orderBy("doc_id").collect()
     texts = pa.array([r.text for r in rows], pa.large_string())
     toxic = np.array([int(r.toxic) for r in rows], np.int64)
     vocabulary = all_terms(texts)
@@ -184,39 +292,55 @@ def build_index(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES):
     found = list(known_terms(texts, vocabulary))
     up, down = votes[1] * toxic.sum(), votes[0] * (1 - toxic).sum()
     prior = float((up + 0.5) / (up + down + 10)) if len(rows) else 0.0
-    return vocabulary, Index([r.doc_id for r in rows], toxic, found, idf, votes, prior)
+    index = Index([r.doc_id for r in rows], toxic, found, idf, votes, prior)
+    model = docs.sparkSession.sparkContext.broadcast((vocabulary, index))
+    left_out = map_batches(drawn.select("doc_id", "toxic", "text"), _votes(model, evidence=False), "doc_id long, vote double")
+    voted = {r.doc_id: r.vote for r in left_out.collect()}  # a row for each example
+    weights = np.where(toxic == 1, votes[1], votes[0])
+    return model, fitted_curve(np.array([voted[r.doc_id] for r in rows]), toxic, weights)
+
+
+def _votes(model, evidence: bool):
+    """Votes of texts, without the example that has their own doc_id, and who voted."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        vocabulary, index = model.value
+        out: dict[str, list] = {"vote": [], "neighbours": [], "similarities": []}
+        found = [index.vector(*x) for x in known_terms(batch.column("text"), vocabulary)]
+        own = batch.column("doc_id").to_pylist()
+        for at in range(0, len(found), QUERIES):
+            for best in index.nearest(found[at : at + QUERIES], own[at : at + QUERIES]):
+                out["vote"].append(index.vote(best))
+                if evidence:
+                    out["neighbours"].append([int(index.ids[place]) for _, place in best])
+                    out["similarities"].append([cosine for cosine, _ in best])
+        return {"doc_id": batch.column("doc_id"), **out}
+
+    return run
 
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher: more toxic),
-    predicted, neighbours (doc_ids of the nearest examples, nearest first), similarities.
-
-    ``labels`` has doc_id and toxic; a document is toxic if any row of its says so.
-    Null texts count as empty; texts without any term of the examples, the empty one
-    included, get the rate of toxic documents, and no neighbours.
+    """One row per row of ``docs``, repeated ones too: doc_id, held_out, score (0 to 1, the
+    probability of being toxic), predicted, neighbours (doc_ids of the nearest examples,
+    nearest first), similarities (their cosines).
+
+    ``labels`` has doc_id and toxic; a document is toxic if any row of its says so. Null
+    texts count as empty. Texts without any term of the examples, the empty one included,
+    have no neighbours and the score of the rate of toxic documents. Without examples of
+    both classes votes are not calibrated.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    vocabulary, index = build_index(docs, labels, examples)
-
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, index))
-
-    def score(batch: pa.RecordBatch) -> dict:
-        vocabulary, index = model.value
-        votes, ids, near = [], [], []
-        found = [index.vector(*x) for x in known_terms(batch.column("text"), vocabulary)]
-        for at in range(0, len(found), QUERIES):
-            for cosines in index.cosines(found[at : at + QUERIES]):
-                best = index.best(cosines)
-                votes.append(index.vote(best))
-                ids.append([int(index.ids[row]) for _, row in best])
-                near.append([cosine for cosine, _ in best])
-        return {"doc_id": batch.column("doc_id"), "score": votes, "neighbours": ids, "similarities": near}
-
-    kinds = "doc_id long, score double, neighbours array<long>, similarities array<double>"
-    return map_batches(docs, score, kinds).selectExpr(
-        "doc_id", f"{held_out(4, 2)} as held_out", "score",
-        f"case when score >= {threshold} then 1 else 0 end as predicted",
-        "neighbours", "similarities",
+    model, (slope, offset) = build_index(docs, labels, examples)
+    odds = "ln((vote + 1e-3D) / (1D - vote + 1e-3D))"
+    kinds = "doc_id long, vote double, neighbours array<long>, similarities array<double>"
+    return (
+        map_batches(docs, _votes(model, evidence=True), kinds)
+        .selectExpr("*", f"1D / (1D + exp(-({slope!r}D * {odds} + {offset!r}D))) as score")
+        .selectExpr(
+            "doc_id", f"{held_out(4, 2)} as held_out", "score",
+            f"case when score >= {threshold} then 1 else 0 end as predicted",
+            "neighbours", "similarities",
+        )
     )

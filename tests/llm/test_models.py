@@ -60,6 +60,11 @@ def test_toxicity_scores(spark):
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
     assert len(rows) == 10_000
+    score, toxic = np.array([r.score for r in held]), np.array([truth[r.doc_id] for r in held])
+    assert (score[toxic == 1] >= 0.3).mean() > 0.75 and (score[toxic == 0] >= 0.3).mean() < 0.04
+    for low, high in ((0, 0.1), (0.1, 0.5), (0.5, 1.01)):  # calibrated
+        inside = (score >= low) & (score < high)
+        assert abs(score[inside].mean() - toxic[inside].mean()) < 0.15
 
 
 def test_rare_terms_find_an_exact_copy(spark):
@@ -76,22 +81,70 @@ def test_rare_terms_find_an_exact_copy(spark):
     assert min(sizes) == toxicity_knn.NEIGHBOURS
 
 
-def test_neighbours_are_exact():
+def clustered(draw, sizes, own, shared=40):
+    """Groups of examples that mostly use terms of their group."""
+    found = []
+    for group, n in enumerate(sizes):
+        for _ in range(n):
+            terms = np.concatenate([
+                draw.integers(0, shared, 8), shared + group * own + draw.integers(0, own, 30)
+            ])
+            found.append(np.unique(terms, return_counts=True))
+    return found, shared + len(sizes) * own
+
+
+@pytest.mark.parametrize("frequent", [2048, 64, 0])
+def test_neighbours_are_exact_and_blocks_are_skipped(monkeypatch, frequent):
+    """Against the cosines of all examples over all terms, whatever blocks hold."""
+    monkeypatch.setattr(toxicity_knn, "FREQUENT", frequent)
     draw = np.random.default_rng(2)
-    idf = draw.uniform(1, 3, 40)
-    found = [np.unique(draw.integers(0, 40, 6), return_counts=True) for _ in range(900)]
-    ids = list(range(900))
-    index = toxicity_knn.Index(ids, np.arange(900) % 2, found, idf, (1.0, 1.0), 0.1)
-    dense = np.zeros((900, 40))
+    found, size = clustered(draw, [300, 250, 200, 150], 120)
+    idf = draw.uniform(1, 3, size)
+    ids = draw.permutation(len(found)).tolist()
+    index = toxicity_knn.Index(ids, np.arange(len(found)) % 2, found, idf, (1.0, 1.0), 0.1)
+    dense = np.zeros((len(found), size))
     for i, x in enumerate(found):
         terms, values = index.vector(*x)
         dense[i, terms] = values
-    for x in found[:40]:
-        terms, values = index.vector(*x)
-        cosine = np.round(dense[:, terms] @ values, 12)
-        want = sorted(range(900), key=lambda i: (-cosine[i], i))[:8]
-        got = [int(index.ids[row]) for _, row in index.nearest(terms, values)]
-        assert [i for i in want if cosine[i] > 0] == got
+    picked = draw.choice(len(found), 60, replace=False)
+    empty = (np.zeros(0, np.int64), np.zeros(0))
+    queries = [index.vector(*found[i]) for i in picked] + [empty]
+    own = [ids[i] if n % 2 else None for n, i in enumerate(picked)] + [None]
+    for (terms, values), mine, got in zip(queries, own, index.nearest(queries, own, k=8)):
+        cosine = dict(zip(ids, np.round(dense[:, terms] @ values, 12).tolist()))
+        want = sorted((i for i in ids if cosine[i] > 0 and i != mine), key=lambda i: (-cosine[i], i))[:8]
+        assert [int(index.ids[place]) for _, place in got] == want
+        assert [c for c, _ in got] == pytest.approx([cosine[i] for i in want], abs=1e-9)
+    if frequent == 2048:
+        assert index.blocks_skipped > index.blocks_scored > 0
+
+
+def test_ties_fall_to_the_smaller_id():
+    found = [np.unique([1, 2, 3], return_counts=True)] * 100
+    ids = list(range(500, 400, -1))
+    index = toxicity_knn.Index(ids, np.zeros(100), found, np.ones(5), (1.0, 1.0), 0.1)
+    (got,) = index.nearest([index.vector(*found[0])], [403], k=4)
+    assert index.ids[[place for _, place in got]].tolist() == [401, 402, 404, 405]
+
+
+def test_the_curve_gives_probabilities():
+    draw = np.random.default_rng(3)
+    votes = draw.uniform(0, 1, 4000)
+    truth = 1 / (1 + np.exp(-(2.5 * toxicity_knn._log_odds(votes) - 1)))
+    toxic = (draw.uniform(size=4000) < truth).astype(int)
+    slope, offset = toxicity_knn.fitted_curve(votes, toxic, np.ones(4000))
+    assert abs(slope - 2.5) < 0.3 and abs(offset + 1) < 0.3
+    assert toxicity_knn.fitted_curve(votes, 1 - toxic, np.ones(4000)) == (1.0, 0.0)
+    assert toxicity_knn.fitted_curve(votes, np.zeros(4000), np.ones(4000)) == (1.0, 0.0)
+
+
+def test_no_example_votes_for_itself_and_repeats_are_kept(spark):
+    rows = {i: f"aa bb cc dd{i} ee{i}" for i in range(60)}
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in rows], "doc_id long, toxic int")
+    docs = cases.documents(spark, rows).union(cases.documents(spark, {5: "another text of five"}))
+    docs = docs.union(cases.documents(spark, {5: rows[5], 6: rows[6]}))
+    found = toxicity_knn.toxicity_scores(docs, labels).collect()
+    assert len(found) == 63 and all(r.doc_id not in r.neighbours for r in found)
 
 
 def test_language_models(spark):
