@@ -6,6 +6,10 @@ one copy of each blob, only where a rule version is missing, appends to the ledg
 joins all findings back to every path that holds the blob. Everything runs as DataFrame
 expressions: a rule's matches are wrapped in marks, the text is cut at the marks, and
 the lengths of the pieces give the places.
+
+A scan first finds the unseen blobs among hashes alone. Their bits in a bitmap of fixed size
+then keep the texts of other blobs from being moved, but for a few that share a bit, and
+an exact join drops those.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from .common import store
 
 _CUT, _SECRET, _OTHER = "\x01", "\x02", "\x03"
 _SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
+_PIECES = 256  # of a text whose places are added up together
+_BITS = 1 << 26  # of the bitmap of unseen blobs: 8 MB
+_BUCKET = 1 << 15  # bits of one row of it
 
 
 @dataclasses.dataclass(frozen=True)
@@ -51,27 +58,56 @@ RULES = BASE + (
 
 
 def spans(text: Column, rule: Rule, place: int) -> Column:
-    """Places of the rule's matches, leftmost and not overlapping, in code points."""
+    """Places of the rule's matches, leftmost and not overlapping, in code points.
+
+    Adding up lengths copies what was found at every step, so it is done within blocks of
+    ``_PIECES`` pieces, and for the blocks: a text of very many matches takes time in
+    proportion, nearly."""
     wrap = f"{_CUT}$1{_SECRET}$2{_CUT}" if rule.group else f"{_CUT}{_SECRET}$0{_CUT}"
     pieces = F.split(F.regexp_replace(text, rule.pattern, wrap), _CUT)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPANS).alias("found"))
 
-    def step(state: Column, piece: Column) -> Column:
+    def measured(piece: Column) -> Column:
         is_match = F.contains(piece, F.lit(_SECRET))
-        end = state["at"] + F.char_length(piece) - F.when(is_match, 1).otherwise(0)
         secret = F.char_length(F.substring_index(piece, _SECRET, -1))
-        span = F.struct(
-            state["at"].alias("start"), F.lit(place).alias("place"), end.alias("end"),
-            F.lit(rule.kind).alias("kind"),
+        return F.struct(
+            (F.char_length(piece) - F.when(is_match, 1).otherwise(0)).alias("n"),
+            (is_match & (secret >= rule.least)).alias("hit"),
         )
-        found = F.when(
-            is_match & (secret >= rule.least),
-            F.concat(F.coalesce(state["found"], F.array().cast(_SPANS)), F.array(span)),
-        ).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
 
-    several = F.aggregate(pieces, start, step, lambda s: s["found"])
-    return F.coalesce(F.when(F.size(pieces) > 1, several), F.array().cast(_SPANS))
+    def inside(block: Column, begin: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            end = state["at"] + piece["n"]
+            span = F.struct(
+                state["at"].alias("start"), F.lit(place).alias("place"), end.alias("end"),
+                F.lit(rule.kind).alias("kind"),
+            )
+            found = F.when(piece["hit"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
+            return F.struct(end.alias("at"), found.alias("found"))
+
+        start = F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("found"))
+        return F.aggregate(block, start, step, lambda s: s["found"])
+
+    def in_blocks(blocks: Column) -> Column:
+        def next_begin(begins: Column, block: Column) -> Column:
+            size = F.aggregate(block, F.lit(0), lambda s, piece: s + piece["n"])
+            return F.concat(begins, F.array(F.element_at(begins, -1) + size))
+
+        begins = F.aggregate(blocks, F.array(F.lit(0)), next_begin)
+        return _once(begins, lambda b: F.flatten(F.transform(blocks, lambda x, i: inside(x, b[i]))))
+
+    def several(all_pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / _PIECES).cast("int"))
+        blocks = F.transform(numbers, lambda i: F.slice(all_pieces, i * _PIECES + 1, _PIECES))
+        return _once(blocks, in_blocks)
+
+    none = F.array().cast(_SPANS)
+    return F.when(F.size(pieces) > 1, _once(F.transform(pieces, measured), several)).otherwise(none)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, not again for every element of the
+    functions that ``use`` applies."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _plain(text: Column) -> Column:
@@ -99,18 +135,41 @@ class Ledger:
     def entries(self) -> DataFrame:
         return self.spark.read.schema(self.kinds).parquet(self.folder)
 
-    def unseen(self, found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-        """(blob, text, seen): one copy of each blob that some rule version has not seen."""
-        copies = found.groupBy("blob").agg(F.first("text").alias("text"))
+    def unseen_blobs(self, blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+        """(blob, seen): of the given hashes those that some rule version has not seen."""
         seen = self.entries().groupBy("blob").agg(
             F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen")
         )
         wanted = F.array(*[F.lit(r.key) for r in rules])
-        return copies.join(seen, "blob", "left").withColumn(
+        return blobs.select("blob").distinct().join(seen, "blob", "left").withColumn(
             "seen", F.coalesce("seen", F.array().cast("array<string>"))
         ).where(F.size(F.array_except(wanted, "seen")) > 0)
 
-    def scan(self, found: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+    def likely(self, found: DataFrame, new: DataFrame) -> DataFrame:
+        """Rows of ``found`` whose blob is in ``new``, and a few others: those whose bit is
+        set in a bitmap of fixed size, one row for each bucket of bits."""
+        bit = F.pmod(F.xxhash64("blob"), F.lit(_BITS))
+        split_up = [(bit / _BUCKET).cast("int").alias("bucket of bits"), (bit % _BUCKET).alias("place of the bit")]
+        bits = (
+            new.select(*split_up).groupBy("bucket of bits")
+            .agg(F.bitmap_construct_agg("place of the bit").alias("bits"))
+        )
+        byte = F.substring("bits", (F.col("place of the bit") / 8).cast("int") + 1, F.lit(1))
+        value = F.conv(F.hex(byte), 16, 10).cast("int")
+        is_set = F.getbit(value, (F.col("place of the bit") % 8).cast("int")) == 1
+        # The bitmap has at most _BITS / 8 bytes.
+        return found.select("*", *split_up).join(F.broadcast(bits), "bucket of bits").where(is_set).select(found.columns)
+
+    def unseen(self, found: DataFrame, rules: tuple[Rule, ...], blobs: DataFrame | None = None) -> DataFrame:
+        """(blob, text, seen): one copy of each blob that some rule version has not seen.
+        ``blobs`` may hold the hashes of ``found`` ready."""
+        new = store(self.unseen_blobs(found if blobs is None else blobs, rules), "unseen-blobs")
+        copies = self.likely(found, new).groupBy("blob").agg(F.first("text").alias("text"))
+        return copies.join(new, "blob")
+
+    def scan(
+        self, found: DataFrame, rules: tuple[Rule, ...] = RULES, blobs: DataFrame | None = None
+    ) -> None:
         """Scan what is new in ``found`` (path, text, blob) and record it. Entries are
         appended by one write, which commits whole or not at all. An entry names the
         versions behind its spans, so ``rules`` may hold one version of each kind."""
@@ -118,7 +177,7 @@ class Ledger:
             raise ValueError("two versions of one kind in a scan")
         text = _plain(F.col("text"))
         missing = [~F.array_contains("seen", r.key) for r in rules]
-        new = self.unseen(found, rules).select(
+        new = self.unseen(found, rules, blobs).select(
             "blob",
             F.array_compact(F.array(*[F.when(m, F.lit(r.key)) for m, r in zip(missing, rules)])).alias("rules"),
             F.concat(*[
@@ -147,7 +206,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | N
     ledger = ledger or Ledger(docs.sparkSession)
     found = versions(docs)
     names = store(found.select("path", "blob"), "secret-paths")
-    ledger.scan(found, rules)
+    ledger.scan(found, rules, names)
     return names.join(ledger.findings(rules), "blob", "left").select(
         "path", "blob", F.coalesce("found", F.array().cast(_SPANS)).alias("found")
     )

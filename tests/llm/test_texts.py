@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import time
 
 import pytest
 
@@ -62,6 +63,36 @@ def test_ledger_scans_only_what_is_new(spark):
     assert kinds == {"assign", "letter"}
 
 
+def test_a_second_scan_moves_no_text_of_a_seen_blob(spark):
+    ledger = secret_ledger.Ledger(spark)
+    old = {i: f"text {i} token=abcdef{i}" for i in range(500)}
+    ledger.scan(secret_ledger.versions(cases.documents(spark, old)))
+    more = secret_ledger.versions(cases.documents(spark, old | {900: "new token=ghijkl", 901: "new token=ghijkl"}))
+    new = ledger.unseen_blobs(more, secret_ledger.RULES)
+    assert new.count() == 1
+    assert {r.path for r in ledger.likely(more, new).collect()} == {900, 901}
+    plan = ledger.likely(more, new)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    ledger.scan(more)
+    assert ledger.findings().count() == 501
+
+
+def test_very_many_matches_take_seconds(spark):
+    text = " ".join(f"token=abcdef{i}" for i in range(200_000))
+    begin = time.time()
+    (row,) = secret_ledger.secrets(cases.documents(spark, {1: text, 2: "x"})).where("path = 1").collect()
+    assert time.time() - begin < 60
+    want = plain_spans(text)
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.found] == want and len(want) == 200_000
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 255, 256, 257, 700])
+def test_spans_over_block_borders(spark, n):
+    text = " é ".join(f"secret:abcdef{i}" for i in range(n))
+    row = secret_ledger.scan_report(cases.documents(spark, {1: text})).first()
+    assert row.spans == ",".join(plain_spans(text)) and row.n_assign == n
+
+
 def test_a_new_version_replaces_the_spans_of_the_old(spark):
     ledger = secret_ledger.Ledger(spark)
     texts = secret_ledger.versions(spark.createDataFrame([(1, "ab b"), (2, "b")], "doc_id long, text string"))
