@@ -35,8 +35,8 @@ EXAMPLES = 3_000  # labelled texts of either class, at most about
 NEIGHBOURS = 32
 FREQUENT = 2_048  # terms that blocks hold; those of fewer examples have short lists
 BLOCK = 32  # examples
-FIRST = 8  # blocks of the first round
-ERROR = 1e-5  # of sums in single precision; what is this near is compared in double
+FIRST = 16  # blocks of the first round; each later one takes eight times as many
+ERROR = 1e-5  # of cosines in single precision; those this near are compared in double
 QUERIES = 64  # that meet the index together
 THRESHOLD = 0.3
 _PREFIXES = (4, 5, 6)
@@ -169,24 +169,40 @@ class Index:
             flat = scores.reshape(len(queries), -1)
             if flat.shape[1] >= k:
                 least = np.maximum(least, np.partition(flat, -k, axis=1)[:, -k])
-            done, step = done + step, step * 2
+            done, step = done + step, step * 8
         self.blocks_skipped = self.blocks_skipped + len(queries) * blocks - int((scores[:, :, 0] > -4).sum())
         return [
-            self._exact(x, np.flatnonzero((s > 0) & (s >= t - 2 * ERROR)), k)
+            self._ranked(x, np.flatnonzero((s > 0) & (s >= t - 2 * ERROR)), s, k)
             for x, s, t in zip(queries, scores.reshape(len(queries), -1), least)
         ]
 
-    def _exact(self, query: tuple, places: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best of a few examples, in double precision."""
+    def _ranked(self, query: tuple, places: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The ``k`` best of ``places``. Where sums in single precision are too near each
+        other to tell, cosines are added up again in double precision."""
+        cosines = scores[places].astype(float)
+        order = np.argsort(-cosines)
+        close = np.flatnonzero(-np.diff(cosines[order]) < 2 * ERROR)
+        unsure = order[np.union1d(close, close + 1)]
+        cosines[unsure] = self._cosines(query, places[unsure])
+        order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
+        return [(float(cosines[i]), int(places[i])) for i in order]
+
+    def _cosines(self, query: tuple, places: np.ndarray) -> np.ndarray:
+        if not len(places):
+            return np.zeros(0)
         terms, values = query
+        self._query[terms] = values
         n = self.at[places + 1] - self.at[places]
-        at = np.arange(n.sum()) + np.repeat(self.at[places] - (np.cumsum(n) - n), n)
-        near = np.minimum(np.searchsorted(terms, self.terms[at]), max(len(terms) - 1, 0))
-        hit = terms[near] == self.terms[at] if len(terms) else np.zeros(len(at), bool)
-        products = np.where(hit, values[near] * self.values[at], 0.0) if len(terms) else np.zeros(len(at))
-        cosines = np.bincount(np.repeat(np.arange(len(places)), n), products, len(places))
-        order = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-        return [(float(cosines[i]), int(places[i])) for i in order if cosines[i] > 0]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.at[places] - (ends - n), n)
+        found = np.add.reduceat(self._query[self.terms[at]] * self.values[at], ends - n)
+        self._query[terms] = 0
+        return found
+
+    @functools.cached_property
+    def _query(self) -> np.ndarray:
+        """A query's weights by term, while it is compared."""
+        return np.zeros(len(self.idf))
 
     def vote(self, best: list[tuple[float, int]]) -> float:
         """Weighted share of toxic neighbours; without any, the rate of toxic documents."""
@@ -324,7 +340,7 @@ def toxicity_scores(
 ) -> DataFrame:
     """One row per row of ``docs``, repeated ones too: doc_id, held_out, score (0 to 1, the
     probability of being toxic), predicted, neighbours (doc_ids of the nearest examples,
-    nearest first), similarities (their cosines).
+    nearest first), similarities (their cosines, to five digits at least).
 
     ``labels`` has doc_id and toxic; a document is toxic if any row of its says so. Null
     texts count as empty. Texts without any term of the examples, the empty one included,

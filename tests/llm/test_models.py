@@ -76,7 +76,7 @@ def test_rare_terms_find_an_exact_copy(spark):
     drawn = {i for i in rows if zlib.crc32(str(i).encode()) % 4 != 2}
     found = {r.doc_id: r for r in toxicity_knn.toxicity_scores(cases.documents(spark, rows | copies), labels).collect()}
     for i in (i for i in copies if i - 1000 in drawn):
-        assert found[i].neighbours[0] == i - 1000 and abs(found[i].similarities[0] - 1) < 1e-9
+        assert found[i].neighbours[0] == i - 1000 and abs(found[i].similarities[0] - 1) < 1e-5
     sizes = [len(r.neighbours) for r in found.values()]
     assert min(sizes) == toxicity_knn.NEIGHBOURS
 
@@ -97,6 +97,7 @@ def clustered(draw, sizes, own, shared=40):
 def test_neighbours_are_exact_and_blocks_are_skipped(monkeypatch, frequent):
     """Against the cosines of all examples over all terms, whatever blocks hold."""
     monkeypatch.setattr(toxicity_knn, "FREQUENT", frequent)
+    monkeypatch.setattr(toxicity_knn, "FIRST", 4)
     draw = np.random.default_rng(2)
     found, size = clustered(draw, [300, 250, 200, 150], 120)
     idf = draw.uniform(1, 3, size)
@@ -114,7 +115,7 @@ def test_neighbours_are_exact_and_blocks_are_skipped(monkeypatch, frequent):
         cosine = dict(zip(ids, np.round(dense[:, terms] @ values, 12).tolist()))
         want = sorted((i for i in ids if cosine[i] > 0 and i != mine), key=lambda i: (-cosine[i], i))[:8]
         assert [int(index.ids[place]) for _, place in got] == want
-        assert [c for c, _ in got] == pytest.approx([cosine[i] for i in want], abs=1e-9)
+        assert [c for c, _ in got] == pytest.approx([cosine[i] for i in want], abs=1e-5)
     if frequent == 2048:
         assert index.blocks_skipped > index.blocks_scored > 0
 
