@@ -209,6 +209,51 @@ def test_foreign_archives_are_read():
         assert [warc.split_http(h, b)[1] for h, b in found] == [b"body 2"]
 
 
+def reached(item, text, threshold=10):
+    """Does the run with the best score of any diagonal hold enough matches?"""
+    for shift in range(-len(item) + 1, len(text)):
+        score = matched = best = held = 0
+        for i, w in enumerate(item):
+            if 0 <= i + shift < len(text):
+                score, matched = (score + 1, matched + 1) if text[i + shift] == w else (score - 3, matched)
+                if score <= 0:
+                    score = matched = 0
+                if score > best:
+                    best, held = score, matched
+        if held >= min(threshold, len(item)):
+            return True
+    return False
+
+
+def test_substituted_items_are_found_as_brute_force_says(spark):
+    draw = random.Random(8)
+    sizes, items, texts = (10, 11, 12, 15, 20, 25, 40), {}, {}
+    for size in sizes:
+        for _ in range(400):
+            number = len(items)
+            items[number] = [f"i{number}w{j}" for j in range(size)]
+            changed = [w if draw.random() >= 0.1 else f"x{draw.randrange(10**6)}" for w in items[number]]
+            filler = [f"f{draw.randrange(500)}" for _ in range(draw.randrange(40))]
+            texts[number] = filler + changed + filler[::-1]
+    docs = cases.documents(spark, {i: " ".join(t) for i, t in texts.items()})
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert all(a == b for a, b in found)
+    for size in sizes:
+        wanted = {i for i, t in items.items() if len(t) == size and reached(t, texts[i])}
+        got = {i for i, _ in found if len(items[i]) == size}
+        assert got <= wanted and len(wanted) > 100
+        assert len(got) >= 0.99 * len(wanted), (size, len(got), len(wanted))
+
+
+def test_repeated_rows_count_once(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = cases.documents(spark, {1: text}).union(cases.documents(spark, {1: text}))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    (row,) = decontamination.contaminated(docs, bench).collect()
+    assert (row.matched, row.first_token, row.n_hits) == (30, 0, 1)
+
+
 def test_decontamination(spark):
     draw = random.Random(4)
     item = [f"b{i}" for i in range(30)]
