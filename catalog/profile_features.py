@@ -219,7 +219,7 @@ def training_spikes(spark, folder):
         "after_hours_logons + weekend_logons as login_count",
         "avg_daily_device_connections as device_activity_count",
     )
-    spikes = {t: (c, fixed.TRAINING_SPIKE_QUANTILE) for t, c in profiles.TRAINING_SPIKES.items()}
+    spikes = {t: (c, fixed.TRAINING_SPIKE_QUANTILE) for t, c in fixed.TRAINING_SPIKES.items()}
     return statistics.add_quantile_flags(profile, spikes).select("user", *spikes)
 
 

@@ -1,4 +1,9 @@
-"""The same tables in SQL: common table expressions that queries build on."""
+"""The same tables in SQL: common table expressions that queries build on.
+
+Names, words, cuts, weights and texts in these expressions are fixed values: results depend
+on them. They are written out here, apart from ``driftwarden.fixed``, so that a wrong one
+in either place shows.
+"""
 
 from __future__ import annotations
 

@@ -362,8 +362,123 @@ LOG1P_COLUMNS = (
 # Fixed cuts that fit the published score table.
 PUBLISHED_LEVEL_CUTS = (("High", 75.0), ("Medium", 45.0))
 
+# --- fixed values: inputs of the profile features ------------------------------
+
+PROFILE_INPUTS = (
+    "external_emails_ratio",
+    "emails_sent_off_hours",
+    "emails_sent_per_day",
+    "active_days",
+    "bcc_usage_rate",
+    "attachment_count_avg",
+    "unique_recipients_count",
+    "total_files_copied",
+    "avg_files_copied_per_day",
+    "after_hours_file_copy_ratio",
+    "filetype_exe",
+    "filetype_zip",
+    "filetype_pdf",
+    "filetype_doc",
+    "after_hours_logons",
+    "weekend_logons",
+    "logons_on_other_user_pcs",
+    "logon_std_dev_hours",
+    "late_hour_device_use",
+    "after_hours_intensity",
+    "avg_malicious_urls_per_day",
+    "total_malicious_urls",
+    "avg_distinct_domains_per_day",
+    "avg_after_hours_browsing_per_day",
+    "distinct_pcs_used",
+    "missing_disconnects",
+    "never_used_device",
+    "avg_daily_device_connections",
+)
+
+# Inputs that may be absent, and what stands in for them.
+OPTIONAL_INPUTS = {"after_hours_intensity": 0.0, "active_days": 1.0}
+
+# Features that are an input with its gaps filled.
+COPIED = {
+    "ext_email_ratio": "external_emails_ratio",
+    "off_hours_email_count": "emails_sent_off_hours",
+    "bcc_usage_rate": "bcc_usage_rate",
+    "attachment_density": "attachment_count_avg",
+    "unique_recipient_count": "unique_recipients_count",
+    "total_files_copied": "total_files_copied",
+    "avg_files_per_day": "avg_files_copied_per_day",
+    "after_hours_file_ratio": "after_hours_file_copy_ratio",
+    "after_hours_logon_count": "after_hours_logons",
+    "weekend_logon_count": "weekend_logons",
+    "other_pc_logon_count": "logons_on_other_user_pcs",
+    "logon_time_std": "logon_std_dev_hours",
+    "late_hour_device_use": "late_hour_device_use",
+    "off_hours_intensity": "after_hours_intensity",
+    "malicious_url_avg": "avg_malicious_urls_per_day",
+    "malicious_url_total": "total_malicious_urls",
+    "distinct_domain_avg": "avg_distinct_domains_per_day",
+    "after_hours_browsing_avg": "avg_after_hours_browsing_per_day",
+    "distinct_pcs_used": "distinct_pcs_used",
+    "missing_disconnects": "missing_disconnects",
+    "avg_device_connections": "avg_daily_device_connections",
+}
+
+# Flags for an input over a fixed count.
+COUNT_FLAGS = {
+    "other_pc_logon_flag": ("logons_on_other_user_pcs", 0),
+    "malicious_url_flag": ("total_malicious_urls", 0),
+    "multi_pc_flag": ("distinct_pcs_used", 1),
+    "never_used_device_flag": ("never_used_device", 0),
+}
+
+# Shares of a file type among all copies.
+FILE_SHARES = {"exe_file_ratio": "filetype_exe", "zip_file_ratio": "filetype_zip"}
+
 # --- fixed values: training layout and model ----------------------------------
 
+# Targets that are a profile column under another name.
+TRAINING_COPIES = {
+    "email_count": "emails_sent_per_day",
+    "recipient_count": "unique_recipients_count",
+    "late_night_count": "emails_sent_off_hours",
+    "external_ratio": "external_emails_ratio",
+    "late_logins": "after_hours_logons",
+    "weekend_logins": "weekend_logons",
+    "after_hours_logins": "after_hours_logons",
+    "file_access_count": "total_files_copied",
+    "file_copy_count": "total_files_copied",
+    "after_hours_file_ratio": "after_hours_file_copy_ratio",
+    "device_activity_count": "avg_daily_device_connections",
+    "usb_insertions": "avg_daily_device_connections",
+    "unknown_device_count": "never_used_device",
+    "after_hours_device_usage": "late_hour_device_use",
+}
+TRAINING_CONSTANTS = {
+    "weekend_count": 0,
+    "weekend_ratio": 0,
+    "failed_logins": 0,
+    "weekend_file_access": 0,
+    "copy_ratio": 1,
+    "weekend_device_usage": 0,
+}
+# target -> (part, whole), both training columns, as part / (whole + 1)
+TRAINING_RATIOS = {
+    "late_night_ratio": ("late_night_count", "email_count"),
+    "late_login_ratio": ("late_logins", "login_count"),
+    "weekend_login_ratio": ("weekend_logins", "login_count"),
+    "after_hours_ratio": ("after_hours_logins", "login_count"),
+    "sensitive_ratio": ("sensitive_file_access", "file_access_count"),
+    "usb_ratio": ("usb_insertions", "device_activity_count"),
+    "unknown_device_ratio": ("unknown_device_count", "device_activity_count"),
+    "after_hours_device_ratio": ("after_hours_device_usage", "device_activity_count"),
+}
+TRAINING_SPIKES = {
+    "email_spike": "email_count",
+    "login_spike": "login_count",
+    "file_spike": "file_access_count",
+    "device_spike": "device_activity_count",
+}
+
 TRAINING_SPIKE_QUANTILE = 0.95
 NOT_MODEL_FEATURES = ("user", "label", "odd_onboarding")
 CONTAMINATION = 0.05
