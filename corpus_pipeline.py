@@ -9,24 +9,63 @@ from driftwarden.llm.common import read, store
 from driftwarden.llm.queries import tokenizer_path
 
 
+KEY, SHARED = "key of the row", "the row shares its doc_id"
+FEW = 1_000_000  # shared doc_ids up to which they are broadcast, 40 bytes each
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that tells texts apart, so that a decision on one text deletes
+    no other: the doc_id, but another number, larger than any doc_id below 2^62, for texts
+    whose doc_id is null or belongs to another text. Equal rows share their key. The second
+    column added says whether the doc_id is null or comes more than once."""
+    content = F.xxhash64("doc_id", "text")
+    shared = store(
+        docs.groupBy(F.col("doc_id").alias("id"))
+        .agg(F.count("*").alias("n"), F.min(content).alias("first"))
+        .where("n > 1 or id is null"),
+        "shared-ids",
+    )
+    found = shared.count()
+    if not found:
+        return docs.withColumns({KEY: F.col("doc_id").cast("long"), SHARED: F.lit(False)})
+    other = F.broadcast(shared) if found <= FEW else shared
+    own = F.col("n").isNull() | (F.col("id").isNotNull() & (F.col("first") == content))
+    number = F.lit(1 << 62).cast("long") + F.shiftrightunsigned(content, 2)
+    rows = docs.join(other, docs["doc_id"].eqNullSafe(F.col("id")), "left")
+    return rows.withColumns(
+        {KEY: F.when(own, F.col("doc_id").cast("long")).otherwise(number), SHARED: F.col("n").isNotNull()}
+    ).drop("id", "n", "first")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier rejects."""
-    scores = quality_pu.quality_scores(docs, read(spark, sf_dir, "labels"))
-    # Rows without doc_id cannot be told apart by it; they stay.
-    rejected = scores.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    scores = quality_pu.quality_scores(_as_documents(rows), read(spark, sf_dir, "labels"))
+    rejected = scores.where("predicted = 0").select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(rejected, KEY, "left_anti").select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    copies = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies the document with the smallest doc_id stays, and of
+    equal rows one. Texts without a doc_id of their own come after those that have one."""
+    rows = keyed(docs)
+    found = minhash_dedup.near_duplicates(_as_documents(rows))
+    copies = found.where("not kept").select(F.col("doc_id").alias(KEY)).distinct()
+    left = rows.join(copies, KEY, "left_anti")
+    repeated = left.where(F.col(SHARED)).dropDuplicates([KEY])
+    return left.where(~F.col(SHARED)).union(repeated).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of a benchmark item."""
-    found = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = decontamination.contaminated(_as_documents(rows), read(spark, sf_dir, "benchmark"))
+    hit = found.select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(hit, KEY, "left_anti").select(docs.columns)
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
