@@ -219,6 +219,30 @@ def test_word_counts_and_losses(spark):
     assert np.allclose(chance.sum(1), 1, atol=1e-5)
 
 
+def test_pipeline_decides_by_row(spark):
+    """Two texts under one doc_id, equal rows, and copies without a doc_id."""
+    import corpus_pipeline
+
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    one, two, three = (" ".join(draw.choices(words, k=60)) for _ in range(3))
+    rows = [(1, one), (1, two), (2, two), (2, two), (None, three), (None, three + " more"), (7, one)]
+    kept = "doc_id long, text string"
+    near = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, kept), cases.SF)
+    left = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    texts = [t for _, t in left]
+    assert texts.count(one) == texts.count(two) == 1 and len(left) == 3
+    assert (2, two) in left or (1, two) in left
+    item = spark.read.parquet(f"{cases.SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(1, item), (1, one), (None, item), (None, two), (3, item)], kept)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, cases.SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted([(1, one), (None, two)], key=str)
+    unique = spark.createDataFrame([(1, one), (2, two)], kept)
+    assert [r[corpus_pipeline.KEY] for r in corpus_pipeline.keyed(unique).orderBy("doc_id").collect()] == [1, 2]
+    keys = {(r.doc_id, r.text): r[corpus_pipeline.KEY] for r in corpus_pipeline.keyed(docs).collect()}
+    assert len(set(keys.values())) == 5 and keys[3, item] == 3 and min(keys.values()) == 1
+
+
 def test_pipeline_keeps_columns_and_decides(spark):
     import corpus_pipeline
 
