@@ -25,11 +25,11 @@ def scored(profile):
 
 def test_feature_count(profile):
     names = [c for p in fixed.PILLARS.values() for c in p]
-    features = profiles.profile_features(profile.select("user", *[c for c in profiles.INPUTS if c in profile.columns]))
+    features = profiles.profile_features(profile.select("user", *[c for c in fixed.PROFILE_INPUTS if c in profile.columns]))
     assert len(names) == 54
     assert set(names) <= set(features.columns)
     # Five features replace an input of the same name.
-    assert len(features.columns) - len(profiles.INPUTS) - 1 == 49
+    assert len(features.columns) - len(fixed.PROFILE_INPUTS) - 1 == 49
 
 
 def test_profile_bounds(profile, scored):
