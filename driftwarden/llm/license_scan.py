@@ -7,9 +7,11 @@ threshold's share of a template's tokens must hold one of the template's first
 and positional filters drop candidates that cannot reach the threshold, and what is
 left is counted exactly. All of it is DataFrame expressions.
 
-Published notices are wrapped, so runs of words across line breaks are blocks as well:
-every run of as many words as a template has. Only texts whose words hold enough of a
-template's tokens at all are cut into such runs, and only at places of those tokens.
+A line is a block for templates of at least as many words. Published notices are wrapped,
+and they stand inside longer lines, so runs of words are blocks as well, across line breaks
+or within a line: every run of as many words as a template has. Words that are scattered
+more widely name no license. Only texts whose words hold enough of a template's tokens at
+all are cut into such runs, and only at places of those tokens.
 
 Beside the join, whole texts are searched for the phrases of the base labels.
 """
@@ -73,9 +75,9 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.contains(apart, F.lit(wanted)), found).otherwise(F.array().cast("array<long>"))
 
 
-def _across_lines(lines: Column, known: Column, templates: Column) -> Column:
-    """Templates ``(label, n, needed, tokens)`` found in a run of ``n`` words of a text of
-    several lines: structs of label and largest share."""
+def _in_runs(lines: Column, known: Column, templates: Column) -> Column:
+    """Templates ``(label, n, needed, tokens)`` found in a run of ``n`` words of a text:
+    structs of label and largest share."""
     words = F.split(F.array_join(lines, " "), " ")
 
     def shared(t: Column, places: Column) -> Column:
@@ -100,8 +102,7 @@ def _across_lines(lines: Column, known: Column, templates: Column) -> Column:
         templates, lambda t: F.size(F.array_intersect(own, t["tokens"])) >= t["needed"]
     ))[0]
     best = F.filter(F.transform(likely, found), lambda x: x["shared"] >= x["needed"])
-    shares = F.transform(best, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["size"]).alias("share")))
-    return F.when(F.size(lines) > 1, shares).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    return F.transform(best, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["size"]).alias("share")))
 
 
 def license_labels(
@@ -111,7 +112,8 @@ def license_labels(
     first_word, last_word (the first and the last place, null without one), base_labels,
     labels (base ones and those of templates found), score (1 with a base phrase, else
     the largest share of a template's tokens in a block, if it reaches the threshold,
-    else 0). A block is a line, or across lines a run of as many words as the template has. Null texts count as empty. Rows that share a doc_id share template labels.
+    else 0). A block is a run of as many words as the template has, or a line that is no
+    longer. Null texts count as empty. Rows that share a doc_id share template labels.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
@@ -154,7 +156,7 @@ def license_labels(
         lines.select(
             "doc_id", _count(words).cast("long").alias("n_words"), places.alias("places"),
             F.array_sort(F.array_distinct(labels)).alias("base"), blocks.alias("blocks"),
-            _across_lines(F.col("lines"), known, listed).alias("across"),
+            _in_runs(F.col("lines"), known, listed).alias("across"),
         ),
         "license-blocks",
     )
@@ -168,10 +170,11 @@ def license_labels(
         tokens = sorted(tokens, key=order.__getitem__)
         needed = math.ceil(threshold * len(tokens) - 1e-9)
         rows += [
-            (tokens[i], number, label, i, needed, tokens) for i in range(len(tokens) - needed + 1)
+            (tokens[i], number, label, i, needed, len(templates[number][1].split()), tokens)
+            for i in range(len(tokens) - needed + 1)
         ]
     index = docs.sparkSession.createDataFrame(
-        rows, "token string, template int, label string, place int, needed int, template_tokens array<string>"
+        rows, "token string, template int, label string, place int, needed int, most int, template_tokens array<string>"
     )
     rank = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, order[t])])
     prefixes = F.array(*[F.lit(t) for t in sorted({r[0] for r in rows})])
@@ -189,7 +192,7 @@ def license_labels(
     candidates = ordered.select("doc_id", "n", "tokens", F.posexplode("tokens").alias("at", "token")).join(
         F.broadcast(index), "token"
     ).where(
-        (F.col("n") >= F.col("needed"))
+        F.col("n").between(F.col("needed"), F.col("most"))
         & (F.size("tokens") >= F.col("needed"))
         & (before + after >= F.col("needed"))
     )

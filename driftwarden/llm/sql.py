@@ -143,12 +143,13 @@ FROM embeddings JOIN components ON node = vec_id LEFT JOIN degrees ON a = vec_id
 def _licenses() -> str:
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in PHRASES.items())
     templates = ", ".join(
-        f"({i}, '{label}', {sorted(set(text.split()))!r})" for i, (label, text) in enumerate(TEMPLATES)
+        f"({i}, '{label}', {len(text.split())}, {sorted(set(text.split()))!r})"
+        for i, (label, text) in enumerate(TEMPLATES)
     )
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
     WITH phrases(label, p) AS (VALUES {phrases}),
-    templates(template, label, tokens) AS (VALUES {templates}),
+    templates(template, label, n, tokens) AS (VALUES {templates}),
     texts AS (
         SELECT row_number() OVER () AS r, doc_id, coalesce({_LOWER}, '') AS low FROM documents
     ),
@@ -165,15 +166,21 @@ def _licenses() -> str:
             list(DISTINCT label) AS labels
         FROM places GROUP BY r
     ),
-    lines AS (
-        SELECT r, list_distinct(regexp_extract_all(line, '{word}')) AS tokens
-        FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM texts)
+    likely AS (
+        SELECT r, template, label, n, tokens, len(tokens) AS size, words FROM worded, templates
+        WHERE len(list_intersect(list_distinct(words), tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)
     ),
-    shares AS (
-        SELECT r, label, len(list_intersect(lines.tokens, templates.tokens)) AS shared,
-            len(templates.tokens) AS size
-        FROM lines, templates
+    found AS (
+        SELECT r, template, label, n, size, i, words[i] AS word FROM (
+            SELECT *, unnest(range(1, len(words) + 1)) AS i FROM likely
+        ) WHERE list_contains(tokens, words[i])
+    ),
+    runs AS (
+        SELECT a.r, a.template, a.label, a.size, a.i, count(DISTINCT b.word) AS shared
+        FROM found a JOIN found b ON a.r = b.r AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.n - 1
+        GROUP BY ALL
     ),
+    shares AS (SELECT r, label, size, max(shared) AS shared FROM runs GROUP BY r, template, label, size),
     hits AS (
         SELECT r, list(DISTINCT label) AS labels, max(shared / size) AS share
         FROM shares WHERE shared >= ceil({THRESHOLD} * size - 1e-9) GROUP BY r

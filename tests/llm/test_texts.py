@@ -149,6 +149,22 @@ def test_template_join_finds_every_block_over_the_threshold(spark):
     assert got == want and len(set(want.values())) == 2
 
 
+def test_scattered_words_are_no_license(spark):
+    """The words of a template, each followed by many others, on one line or on several;
+    the template inside a long line, whole or with words left out."""
+    label, text = license_scan.TEMPLATES[1]
+    words, other = text.split(), [f"o{i}" for i in range(200)]
+    spread = [" ".join([w, *other]) for w in words]
+    inside = [w for i, w in enumerate(words) if i not in (4, 11)]
+    docs = cases.documents(spark, {
+        1: " ".join(spread), 2: "\n".join(spread), 3: " ".join([*other, *words, *other]),
+        4: " ".join([*other, *inside, *other]), 5: " ".join(inside), 6: " ".join(words * 3),
+    })
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(docs).collect()}
+    assert got[1] == got[2] == ("", 0.0) and got[3] == got[6] == (label, 1.0)
+    assert got[4][0] == got[5][0] == label and 0.8 <= got[4][1] == got[5][1] < 1
+
+
 def test_wrapped_notices_are_found(spark):
     """Every template in lines of a few words behind comment marks, in the middle of other lines."""
     docs, want = {}, {}
