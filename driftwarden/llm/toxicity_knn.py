@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first four to six letters. Labelled examples are a bounded
+Terms are words and their first four and six letters. Labelled examples are a bounded
 sample of either class. The vocabulary is every term of theirs, as of a vectoriser
 fitted on them, and how many documents hold each term is counted over all documents.
 
@@ -34,12 +34,12 @@ from .quality_pu import held_out
 EXAMPLES = 3_000  # labelled texts of either class, at most about
 NEIGHBOURS = 32
 FREQUENT = 2_048  # terms that blocks hold; those of fewer examples have short lists
-BLOCK = 32  # examples
-FIRST = 16  # blocks of the first round; each later one takes eight times as many
+BLOCK = 64  # examples
+FIRST = 8  # blocks of the first round; each later one takes eight times as many
 ERROR = 1e-5  # of cosines in single precision; those this near are compared in double
 QUERIES = 64  # that meet the index together
 THRESHOLD = 0.3
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 6)
 
 
 def _all_terms(texts: pa.Array):
@@ -154,21 +154,25 @@ class Index:
         order = np.argsort(-bounds, axis=1)
         scores = np.full(sums.shape, -4, np.float32)
         least = np.zeros(len(queries), np.float32)  # cosines of 0 are no neighbours
+        top = np.full((len(queries), k), -4, np.float32)  # the best so far
         done, step = 0, FIRST
         while done < blocks:
             next_ = order[:, done : done + step]
+            reach = np.take_along_axis(bounds, next_, axis=1)
             wanted = np.zeros((len(queries), blocks), bool)
-            reach = bounds[rows[:, None], next_]
-            wanted[rows[:, None], next_] = (reach > 0) & (reach >= least[:, None] - 2 * ERROR)
+            np.put_along_axis(wanted, next_, (reach > 0) & (reach >= least[:, None] - 2 * ERROR), axis=1)
             if not wanted.any():
                 break  # bounds fall, and the k-th best only rises
             for b in np.flatnonzero(wanted.any(axis=0)):
-                some = np.flatnonzero(wanted[:, b])
-                scores[some, b] = sums[some, b] + q[some] @ dense[b].T
+                some = wanted[:, b]
+                if 2 * some.sum() > len(some):  # cheaper than to pick them out
+                    scores[:, b] = np.where(some[:, None], sums[:, b] + q @ dense[b].T, scores[:, b])
+                else:
+                    scores[some, b] = sums[some, b] + q[some] @ dense[b].T
             self.blocks_scored += int(wanted.sum())
-            flat = scores.reshape(len(queries), -1)
-            if flat.shape[1] >= k:
-                least = np.maximum(least, np.partition(flat, -k, axis=1)[:, -k])
+            new = np.take_along_axis(scores, next_[:, :, None], axis=1).reshape(len(queries), -1)
+            top = np.partition(np.concatenate([top, new], axis=1), -k, axis=1)[:, -k:]
+            least = np.maximum(least, top[:, 0])
             done, step = done + step, step * 8
         self.blocks_skipped = self.blocks_skipped + len(queries) * blocks - int((scores[:, :, 0] > -4).sum())
         return [
