@@ -7,6 +7,11 @@ triangle inequality (and the sharper distance to the plane between two pivots) c
 exclude. All neighbours of a vector are then present in its home cell, so cells are
 joined independently and each link is counted where the vector is at home.
 
+Cells pay where vectors cluster. If P pivots leave a vector in g cells on average, each of
+its copies meets a P-th of the g-fold vectors, so cells cost g^2 / P of what one cell
+would. Labels where that is not below 1, as for vectors that are spread evenly over many
+dimensions, keep one cell, which is joined in blocks.
+
 Equal vectors are joined once, as a class with a multiplicity. Cells are cut into pairs
 of blocks, so no task holds a large one. A task returns a number of links for each
 vector and a spanning forest, never the links themselves.
@@ -25,26 +30,39 @@ from .common import bounded_batches, components, map_batches, store
 CELL = 4096  # classes that a cell is meant to hold
 PIVOTS = 2048  # in all; they travel with the tasks
 BLOCK = 4096  # classes on either side of a task
+SLACK = 1e-6  # for rounding in distances
+
+
+def near_cells(vectors: np.ndarray, centres: np.ndarray, reach: float, own: bool = False):
+    """For unit vectors (rows) the nearest of the pivots, and which cells the triangle
+    inequality leaves them in. With ``own`` the vectors are the pivots, each without itself."""
+    squares = np.maximum(2 - 2 * vectors @ centres.T, 0)
+    if own:
+        np.fill_diagonal(squares, np.inf)
+    far = np.sqrt(squares)
+    home = np.argmin(far, axis=1)
+    rows = np.arange(len(vectors))
+    nearest = far[rows, home][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * centres[home] @ centres.T, 0))
+    near = (far - nearest <= 2 * reach + SLACK) & (squares - nearest**2 <= 2 * reach * apart + SLACK)
+    near[rows, home] = True
+    return home, near
 
 
 def _assign(pivots: dict[tuple[int, int], np.ndarray], reach: float):
     def run(batch: pa.RecordBatch) -> dict:
-        homes, cells = [], []
-        for label, vector in zip(batch.column("label").to_pylist(), batch.column("vector")):
-            v = vector.values.to_numpy().astype(float)
-            centres = pivots.get((label, len(v)))
-            if centres is None:
-                homes.append(0)
-                cells.append([0])
-                continue
-            far = np.sqrt(((centres - v / np.sqrt(v @ v)) ** 2).sum(1))
-            home = int(np.argmin(far))
-            apart = np.sqrt(((centres - centres[home]) ** 2).sum(1))
-            near = far - far[home] <= 2 * reach
-            near &= far**2 - far[home] ** 2 <= 2 * reach * apart + 1e-9
-            near[home] = True
-            homes.append(home)
-            cells.append(np.flatnonzero(near))
+        homes: list = [0] * len(batch)
+        cells: list = [[0]] * len(batch)
+        groups: dict[tuple[int, int], list[int]] = {}
+        vectors = [v.values.to_numpy().astype(float) for v in batch.column("vector")]
+        for row, (label, v) in enumerate(zip(batch.column("label").to_pylist(), vectors)):
+            if (label, len(v)) in pivots:
+                groups.setdefault((label, len(v)), []).append(row)
+        for key, rows in groups.items():
+            found = np.stack([vectors[r] for r in rows])
+            found /= np.sqrt((found * found).sum(axis=1, keepdims=True))
+            for row, home, near in zip(rows, *near_cells(found, pivots[key], reach)):
+                homes[row], cells[row] = int(home), np.flatnonzero(near)
         return {c: batch.column(c) for c in ("node", "label", "vector", "copies")} | {"home": homes, "cells": cells}
 
     return run
@@ -136,7 +154,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         "vector-classes",
     )
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    pivots = _pivots(classes)
+    pivots = {k: c for k, c in _pivots(classes).items() if worth(c, reach)}
     placed = store(
         map_batches(
             classes, _assign(pivots, reach),
@@ -174,6 +192,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     )
 
 
+def worth(centres: np.ndarray, reach: float) -> bool:
+    """Do cells cost less than one cell would, by how many cells each pivot is near?"""
+    if len(centres) < 3:
+        return False
+    _, near = near_cells(centres, centres, reach, own=True)
+    return (near.sum(axis=1).mean()) ** 2 < len(centres)
+
+
 def _pivots(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Unit vectors, at most about ``PIVOTS`` in all, of labels with more classes than a
     cell is meant to hold: a share of their classes drawn by hash."""

@@ -104,10 +104,25 @@ def brute_vectors(rows, threshold):
     return {i: (sum(i in x for x in links), comp[i], comp[i] == i) for i in comp}
 
 
-@pytest.mark.parametrize("cell", [4096, 8])
-def test_vector_links_match_brute_force(spark, monkeypatch, cell):
+def test_cells_are_kept_where_vectors_cluster():
+    draw = np.random.default_rng(5)
+    spread = draw.normal(size=(500, 64))
+    around = np.repeat(draw.normal(size=(100, 64)), 5, axis=0) + 0.05 * draw.normal(size=(500, 64))
+    reach = math.sqrt(2 - 2 * 0.93)
+    unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (spread, around)]
+    assert [metric_join.worth(v, reach) for v in unit] == [False, True]
+    home, near = metric_join.near_cells(unit[1], unit[1][::5], reach)
+    assert (home == np.arange(500) // 5).all() and near[np.arange(500), home].all() and near.sum() < 2500
+    close = (unit[1] @ unit[1].T) >= 0.93
+    assert all(near[j, home[i]] for i, j in zip(*np.nonzero(close)))
+
+
+@pytest.mark.parametrize("cell,worth", [(4096, None), (8, None), (8, True)])
+def test_vector_links_match_brute_force(spark, monkeypatch, cell, worth):
     monkeypatch.setattr(metric_join, "CELL", cell)
     monkeypatch.setattr(metric_join, "BLOCK", cell)
+    if worth is not None:
+        monkeypatch.setattr(metric_join, "worth", lambda centres, reach: worth)
     rows = vectors()
     frame = spark.createDataFrame(
         [(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, node int, copies string"
