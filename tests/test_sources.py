@@ -70,3 +70,38 @@ def test_missing_columns_raise_and_nan_is_null(spark, tmp_path):
     assert [r.risk_score_1 for r in rows] == [None, 2.5]
     with pytest.raises(ValueError):
         tables.read_profile(spark, str(path), ["user", "risk_score_2"])
+
+
+def test_bad_dates_of_any_format_are_counted_and_shown(spark, tmp_path):
+    for form, good in ((None, "2010-01-31 06:49:00"), ("MM/dd/yyyy HH:mm:ss", "01/31/2010 06:49:00")):
+        path = tmp_path / f"logon-{form is None}.csv"
+        path.write_text(f"user,date,activity\na,whenever,Logon\nb,{good},Logon\nc,,Logon\n")
+        log = {"logon": tables.read_log(spark, str(path), "logon", strict=False, date_format=form)}
+        row = schema.row_problems(log, form).first()
+        assert (row.row_count, row.null_users, row.bad_dates) == (3, 0, 1)
+        assert [tuple(r) for r in schema.bad_dates(log, form).collect()] == [("logon", "a", "whenever")]
+        loose = logs.LogSettings(date_format=form, strict_dates=False)
+        counts = {r.user: r.login_count for r in logs.kind_features(log["logon"], "logon", loose).collect()}
+        assert counts == {"a": 0, "b": 1, "c": 0}
+
+
+def test_ids_stay_with_their_rows(spark):
+    rows = [(x, float(x % 3)) for x in range(60)] + [(7, 1.0)] * 40
+    df = spark.createDataFrame(rows, "x int, y double")
+    found = [
+        sorted((r.user, r.x, r.y) for r in schema.ensure_user(df.repartition(n)).collect()) for n in (1, 7, 200)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert sorted(int(u) for u, _, _ in found[0]) == list(range(100))
+    assert schema.ensure_user(df.withColumnRenamed("x", "user")).columns == ["user", "y"]
+    assert schema.ensure_user(df.limit(0)).collect() == []
+
+
+def test_what_a_table_is_filed_under():
+    kinds = {
+        "user,date,to": ["email"], "user,date,file_name,activity": ["file"], "user,date,activity": ["logon"],
+        "user,date,to,activity,file_name,device": ["email", "logon", "file", "device"],
+        "user,date,to,device": ["email", "device"], "user,date": ["unknown"],
+    }
+    for columns, want in kinds.items():
+        assert schema.filed_under(columns.split(",")) == want
