@@ -256,3 +256,14 @@ def test_rows_without_doc_id_keep_their_text(spark):
 def test_empty_tables(spark, tmp_path, name):
     cases.documents(spark, {}).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries()[name](spark, str(tmp_path)).collect() == []
+
+
+def test_both_libraries_cut_every_code_point_alike():
+    coder, _ = token_alignment.coders(tokenizer_path(BYTES), tokenizer_path(PIECES))
+    assert coder.fast is not None
+    for begin in range(0, 0x110000, 512):
+        letters = [chr(c) for c in range(begin, begin + 512) if not 0xD800 <= c < 0xE000]
+        text = "".join(f" a{x}b {x}1{x}. {x}{x}" for x in letters)
+        assert coder.encode(text).tolist() == coder.library.encode(text, add_special_tokens=False).ids, hex(begin)
+    blanks = "a" + " " * 5000 + "\n" * 3000 + "b"  # more than the faster one's pattern takes
+    assert coder.encode(blanks).tolist() == coder.library.encode(blanks, add_special_tokens=False).ids
